@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, garbled, split
+from codestrata.llm import bpe, garbled, leaks, split
 from codestrata.runtime import table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -27,6 +27,14 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_table(table(spark, base, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.exact_leaks(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+def p8_leaks(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.leaks(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return garbled.garbled(table(spark, base, "documents"), "doc_id", "text").select("doc_id")
 
@@ -35,9 +43,16 @@ def p9_restored(spark: SparkSession, base: str) -> DataFrame:
     return garbled.restore(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_restored": p9_restored}
+_P8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) > 12)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) > 12))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {
     "p3_found": """
 SELECT DISTINCT 'node' AS rec_kind, id AS rec_id FROM code_nodes WHERE length(source_code) > 6000
 UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM discovery_chunk_meta WHERE length(chunk_text) > 1500""",
+    "p8_found": _P8,
 }
