@@ -27,7 +27,7 @@ from codestrata.runtime import cut_lineage
 GRAM, WINDOW, RUN = 20, 36, 2
 LEAST = 200
 CHARS_AT_ONCE = 500_000
-HOT = 64  # texts that may share a run before longer keys are taken
+HOT = 64  # places at which a run may stand before longer keys are taken
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 
@@ -178,12 +178,18 @@ def _long_keys(classes: DataFrame, hot: DataFrame, least: int) -> DataFrame:
     return places.mapInArrow(run, "cid long, run long, pos int")
 
 
-def _paired(runs: DataFrame) -> DataFrame:
+def _paired(runs: DataFrame, star: bool = False) -> DataFrame:
+    """`a`, `b`, `shift` of the texts that have a key in common. With `star`,
+    where a key is long enough by itself, every place is set against one place
+    of the other text instead of all."""
     one = runs.groupBy("run", "cid").agg(F.collect_list("pos").alias("at"))
     a = one.select("run", F.col("cid").alias("a"), F.col("at").alias("at_a"))
     b = one.select("run", F.col("cid").alias("b"), F.col("at").alias("at_b"))
-    shifts = F.array_distinct(F.flatten(F.transform("at_a", lambda x: F.transform("at_b", lambda y: x - y))))
-    return a.join(b, "run").where("a < b").select("a", "b", F.explode(shifts).alias("shift"))
+    if star:
+        shifts = F.concat(F.transform("at_a", lambda x: x - F.array_min("at_b")), F.transform("at_b", lambda y: F.array_min("at_a") - y))
+    else:
+        shifts = F.flatten(F.transform("at_a", lambda x: F.transform("at_b", lambda y: x - y)))
+    return a.join(b, "run").where("a < b").select("a", "b", F.explode(F.array_distinct(shifts)).alias("shift"))
 
 
 def shared_spans(classes: DataFrame, least: int = LEAST) -> DataFrame:
@@ -191,11 +197,12 @@ def shared_spans(classes: DataFrame, least: int = LEAST) -> DataFrame:
     least `least` characters that two distinct texts have in common."""
     if least < guaranteed():
         raise ValueError(f"spans under {guaranteed()} characters may be missed")
-    runs = cut_lineage(_run_table(classes))
-    counts = runs.select("run", "cid").distinct().groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    several = runs.join(counts, "run")
+    runs = _run_table(classes)
+    counts = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most")
+    # What several texts have is little; the runs themselves are made twice rather than kept.
+    several = cut_lineage(runs.join(counts.select("run", "n"), "run"))
     plain, hot = several.where(F.col("n") <= HOT).drop("n"), several.where(F.col("n") > HOT).drop("n")
-    shifts = _paired(plain).unionByName(_paired(_long_keys(classes, hot, least)))
+    shifts = _paired(plain).unionByName(_paired(_long_keys(classes, hot, least), star=True))
     pairs = shifts.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"))
     left = classes.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = classes.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
