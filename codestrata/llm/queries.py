@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, garbled, leaks, secrets, spans, split
+from codestrata.llm import bpe, garbled, handwritten, leaks, secrets, spans, split
 from codestrata.runtime import table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -43,6 +43,14 @@ def p5_shared(spark: SparkSession, base: str) -> DataFrame:
     return spans.shared_amount(_current(spark, base), "id", "source_code")
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, base, "code_nodes")).select("scan_id", "file_path")
+
+
+def p6_kinds(spark: SparkSession, base: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, base, "code_nodes")).select("scan_id", "file_path", F.concat_ws(",", "kinds").alias("kinds"))
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_table(table(spark, base, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -69,7 +77,7 @@ i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM
 dw AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) > 12)),
 iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) > 12))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_shared": p5_shared, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {
     "p3_found": """
 SELECT DISTINCT 'node' AS rec_kind, id AS rec_id FROM code_nodes WHERE length(source_code) > 6000
