@@ -13,6 +13,7 @@ Whole projects are kept apart for validation.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -90,9 +91,9 @@ def body_kind(text: str) -> str | None:
 _CONFIG = re.compile(r"\.(?:json|ya?ml|xml|config|env|properties|toml|ini|cfg|conf)$")
 
 
-def label(path: str | None, text: str | None) -> set[str]:
-    """The kinds whose signs a record bears."""
-    out, head = signs_beside_header(path, text), opening(text or "")
+def label(path: str | None, text: str | None, body: bool = True) -> set[str]:
+    """The kinds whose signs a record bears; without `body` the text's shape isn't looked at."""
+    out, head = signs_beside_header(path, text, body), opening(text or "")
     if GENERATED_HEADER.search(head):
         out.add("generated")
     if VENDORED_HEADER.search(head):
@@ -100,10 +101,10 @@ def label(path: str | None, text: str | None) -> set[str]:
     return out
 
 
-def signs_beside_header(path: str | None, text: str | None) -> set[str]:
+def signs_beside_header(path: str | None, text: str | None, body: bool = True) -> set[str]:
     path, text, out = path or "", text or "", set()
     out |= {k for k, p in PATHS.items() if p.search(path)}
-    if (kind := body_kind(text)) and not (kind == "data" and _CONFIG.search(path) and not text.lstrip().startswith("[")):
+    if body and (kind := body_kind(text)) and not (kind == "data" and _CONFIG.search(path) and not text.lstrip().startswith("[")):
         out.add(kind)
     return out
 
@@ -174,79 +175,121 @@ def parts_of(text: str | None) -> tuple[str, str]:
 
 
 @dataclass
-class Batch:
-    """Features of some records, as one list of (row, column, value)."""
+class Rows:
+    """Features of some records: columns and values of row i lie between ends[i] and ends[i + 1]."""
 
-    n: int
-    rows: np.ndarray
+    ends: np.ndarray
     cols: np.ndarray
     vals: np.ndarray
 
+    def dots(self, w: np.ndarray) -> np.ndarray:
+        n = len(self.ends) - 1
+        return np.bincount(np.repeat(np.arange(n), np.diff(self.ends)), w[self.cols] * self.vals, n)
 
-def features(paths: list[str | None], languages: list[str | None], texts: list[str | None], no_head: np.ndarray | None = None) -> Batch:
-    """Three groups: n-grams of openings, of the rest, and path components.
-    A repeated n-gram stands as often as it occurs."""
+
+def _pieces(strings: tuple[str, ...], grams: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each kind of n-gram: the record and column of every one, in order of
+    records, and how many each record has."""
+    n = len(strings)
+    sizes = np.array([len(x) + 1 for x in strings])
+    ends = np.cumsum(sizes) - 1
+    owner = np.repeat(np.arange(n), sizes)
+    joined = "\0".join(strings) + "\0"
+    for size, salt, shape in grams:
+        h, at = _grams(joined, size, salt, shape)
+        row = owner[at]
+        inside = at + (0 if shape else size) <= ends[row]
+        row = row[inside]
+        yield row, h[inside].astype(np.int64), np.bincount(row, minlength=n)
+
+
+def _grouped(strings: tuple[str, ...], grams: list, power: float, scale: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return [(row, col, (scale / np.maximum(total, 1) ** power)[row]) for row, col, total in _pieces(strings, grams)]
+
+
+def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, compact: bool) -> Rows:
+    row, col, val = (np.concatenate(x) for x in zip(*parts))
+    if compact:  # one entry per column
+        both, at = np.unique(row.astype(np.int64) << BITS | col, return_inverse=True)
+        row, col, val = both >> BITS, both & (1 << BITS) - 1, np.bincount(at, val)
+    elif len(parts) > 1:
+        order = np.argsort(row, kind="stable")
+        row, col, val = row[order], col[order], val[order]
+    return Rows(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), col.astype(np.int32), val.astype(np.float32))
+
+
+def features(paths: list[str | None], languages: list[str | None], texts: list[str | None], compact: bool = False) -> tuple[Rows, Rows]:
+    """n-grams of the openings; n-grams of the rest, and path components."""
     n = len(paths)
-    heads, bodies = zip(*map(parts_of, texts)) if n else ((), ())
-    rows, cols, vals = [], [], []
-
-    def group(strings, grams, power: float, scale: float) -> None:
-        sizes = np.array([len(x) + 1 for x in strings])
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        joined = "\0".join(strings) + "\0"
-        for size, salt, shape in grams:
-            h, at = _grams(joined, size, salt, shape)
-            row = np.searchsorted(starts, at, "right") - 1
-            inside = at + (0 if shape else size) <= starts[row + 1] - 1
-            row = row[inside]
-            total = np.bincount(row, minlength=n)
-            rows.append(row)
-            cols.append(h[inside].astype(np.int64))
-            vals.append((scale / np.maximum(total, 1) ** power)[row])
-
-    if n:
-        group(heads, HEAD_GRAMS, 0.5, 1.0)
-        if no_head is not None:
-            vals[-1] = vals[-1] * ~no_head[rows[-1]]
-        group(bodies, BODY_GRAMS, 1.0, 5.0)
-        c = [_path_columns(p or "", languages[i]) for i, p in enumerate(paths)]
-        rows.append(np.repeat(np.arange(n), [len(x) for x in c]))
-        cols.append(np.concatenate(c))
-        vals.append(np.full(len(cols[-1]), 1 / np.sqrt(10)))
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-    return Batch(n, cat(rows, np.int64), cat(cols, np.int64), cat(vals, np.float32))
-
-
-def train(batch: Batch, wanted: np.ndarray, epochs: int = 8, c: float = 16.0, seed: int = 7) -> tuple[np.ndarray, float]:
+    heads, bodies = zip(*map(parts_of, texts))
+    c = [_path_columns(p or "", languages[i]) for i, p in enumerate(paths)]
+    path = (np.repeat(np.arange(n), [len(x) for x in c]), np.concatenate(c), np.full(sum(map(len, c)), 1 / np.sqrt(10)))
+    return _rows(_grouped(heads, HEAD_GRAMS, 0.5, 1.0), n, compact), _rows([*_grouped(bodies, BODY_GRAMS, 1.0, 5.0), path], n, compact)
+
+
+def blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of records of about CHARS_AT_ONCE characters."""
+    i, upto = 0, np.cumsum(sizes)
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHARS_AT_ONCE)))
+        yield i, min(j, len(sizes))
+        i = j
+
+
+def _stacked(parts: list[Rows]) -> Rows:
+    shift = np.cumsum([0, *(len(p.cols) for p in parts)])
+    return Rows(np.concatenate([[0], *(p.ends[1:] + o for p, o in zip(parts, shift))]), np.concatenate([p.cols for p in parts]), np.concatenate([p.vals for p in parts]))
+
+
+def train(head: Rows, rest: Rows, at: np.ndarray, with_head: np.ndarray, wanted: np.ndarray, epochs: int = 8, c: float = 16.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under hinge loss, by dual
-    coordinate descent. Rare cases weigh up to ten times as much as others."""
-    both, at = np.unique(batch.rows << BITS | batch.cols, return_inverse=True)
-    vals = np.bincount(at, batch.vals)
-    cols = both & (1 << BITS) - 1
-    ends = np.concatenate([[0], np.cumsum(np.bincount(both >> BITS, minlength=batch.n))])
+    coordinate descent. Case i is row at[i], with or without its opening. Rare
+    cases weigh up to ten times as much as others."""
+    n = len(at)
     y = np.where(wanted, 1.0, -1.0)
     cost = np.where(wanted, c * min(10.0, (~wanted).sum() / max(1, wanted.sum())), c)
-    w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(batch.n)
-    square = np.array([vals[a:b] @ vals[a:b] + 1.0 for a, b in zip(ends, ends[1:])])
+    w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(n)
+    norm = lambda r: np.add.reduceat(np.append(r.vals.astype(np.float64) ** 2, 0.0), r.ends[:-1]) * (np.diff(r.ends) > 0)
+    square = norm(rest)[at] + np.where(with_head, norm(head)[at], 0.0) + 1.0
     rng = np.random.default_rng(seed)
     for turn in range(epochs):
-        # Most records lie beyond the margin; they are visited in the first and last turns only.
-        visited = np.arange(batch.n) if turn < 2 or turn == epochs - 1 else np.flatnonzero(alpha > 0)
+        # Most cases lie beyond the margin; they are visited in the first and last turns only.
+        visited = np.arange(n) if turn < 2 or turn == epochs - 1 else np.flatnonzero(alpha > 0)
         for i in rng.permutation(visited):
-            k, v = cols[ends[i] : ends[i + 1]], vals[ends[i] : ends[i + 1]]
-            g = y[i] * (w[k] @ v + bias) - 1
-            new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
+            r = at[i]
+            x, z = rest.ends[r], rest.ends[r + 1]
+            k, v = rest.cols[x:z], rest.vals[x:z]
+            dot = w[k] @ v + bias
+            if with_head[i]:
+                x, z = head.ends[r], head.ends[r + 1]
+                hk, hv = head.cols[x:z], head.vals[x:z]
+                dot += w[hk] @ hv
+            new = min(max(alpha[i] - (y[i] * dot - 1) / square[i], 0.0), cost[i])
             if new != alpha[i]:
                 d = (new - alpha[i]) * y[i]
                 w[k] += d * v  # no column stands twice in a row
+                if with_head[i]:
+                    w[hk] += d * hv
                 bias += d
                 alpha[i] = new
     return w.astype(np.float32), float(bias)
 
 
-def decide(batch: Batch, weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
-    """Margins, one row per record and one column per kind."""
-    return np.stack([np.bincount(batch.rows, weights[k][batch.cols] * batch.vals, batch.n) for k in range(len(weights))], 1) + biases
+def score(paths: list[str | None], languages: list[str | None], texts: list[str | None], weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    """Margins, one row per record and one column per kind: what features() and
+    the weights give, summed on the way. `weights` has a row per column of the
+    features, so one look-up serves all kinds."""
+    n = len(paths)
+    heads, bodies = zip(*map(parts_of, texts))
+    out = np.tile(biases, (n, 1))
+    for strings, grams, power, scale in ((heads, HEAD_GRAMS, 0.5, 1.0), (bodies, BODY_GRAMS, 1.0, 5.0)):
+        for row, col, total in _pieces(strings, grams):
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
+            if len(first):
+                out[row[first]] += np.add.reduceat(weights[col], first, axis=0) * (scale / total[row[first]] ** power)[:, None]
+    for i, p in enumerate(paths):
+        out[i] += weights[_path_columns(p or "", languages[i])].sum(0) / np.sqrt(10)
+    return out
 
 
 UNSURE = (-1.0, 0.5)  # between these margins the exact signs decide
@@ -256,7 +299,7 @@ def settle(margin: np.ndarray, paths: list, texts: list) -> np.ndarray:
     """The margins, with those near the boundary settled by the signs a record bears."""
     near = (margin > UNSURE[0]) & (margin < UNSURE[1])
     for i in np.flatnonzero(near.any(1)):
-        signs = label(paths[i], texts[i])
+        signs = label(paths[i], texts[i], bool(near[i, 2:].any()))
         for k, kind in enumerate(KINDS):
             if near[i, k]:
                 margin[i, k] = UNSURE[1] if kind in signs else UNSURE[0]
@@ -265,7 +308,7 @@ def settle(margin: np.ndarray, paths: list, texts: list) -> np.ndarray:
 
 def sample(nodes: DataFrame, repository: str, looked_at: int = LOOKED_AT, size: int = SAMPLE) -> DataFrame:
     """At most `size` records that bear a sign and as many that bear none, of
-    the `looked_at` records with the least hashes; labels are made on executors."""
+    a draw of `looked_at` records; labels are made on executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,7 +316,10 @@ def sample(nodes: DataFrame, repository: str, looked_at: int = LOOKED_AT, size:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.list_(pa.string()))], names=["repository", "file_path", "language", "text", "h", "kinds"])
 
     rows = nodes.select(F.col(repository).cast("string").alias("repository"), "file_path", "language", F.col("source_code").alias("text"))
-    some = rows.withColumn("h", F.xxhash64("file_path", "text", "repository")).orderBy("h", "file_path").limit(looked_at)
+    # A draw by row number, not by content: copies of one record can't fill it. About a tenth more than asked for is drawn before the sort.
+    share = min(1.0, 1.1 * looked_at / max(1, nodes.count()))
+    drawn = rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id())).where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
+    some = drawn.orderBy("h").limit(looked_at)
     labelled = some.repartition(12).mapInArrow(run, "repository string, file_path string, language string, text string, h long, kinds array<string>")
     kept = cut_lineage(labelled)
     marked, plain = kept.where(F.size("kinds") > 0), kept.where(F.size("kinds") == 0)
@@ -293,41 +339,51 @@ def fit(paths: list, languages: list, texts: list, kinds: list, repositories: li
     projects is kept apart for the report; the classifiers handed out are
     trained on all."""
     n = len(paths)
-    as_is = np.array([[k in row for k in KINDS] for row in kinds], bool).reshape(n, len(KINDS))
+    weights, biases = np.zeros((len(KINDS), 1 << BITS), np.float32), np.full(len(KINDS), -1.0)
+    report: dict[str, dict[str, float]] = {}
+    if not n:
+        return Model(weights, biases, report)
+    as_is = np.array([[k in row for k in KINDS] for row in kinds], bool)
     bare = [signs_beside_header(p, t) for p, t in zip(paths, texts)]
-    without = np.array([[k in row for k in KINDS] for row in bare], bool).reshape(n, len(KINDS))
+    without = np.array([[k in row for k in KINDS] for row in bare], bool)
+    heads, rests = zip(*(features(paths[i:j], languages[i:j], texts[i:j], True) for i, j in blocks(np.array([len(t or "") for t in texts]))))
+    head, rest = _stacked(list(heads)), _stacked(list(rests))
     second = np.flatnonzero(without.any(1) | ~as_is.any(1))
-    pick = lambda x: [x[i] for i in second]
-    full, cut = features(paths, languages, texts), features(pick(paths), pick(languages), pick(texts), np.ones(len(second), bool))
-    both = Batch(n + cut.n, np.concatenate([full.rows, cut.rows + n]), np.concatenate([full.cols, cut.cols]), np.concatenate([full.vals, cut.vals]))
+    at, with_head = np.concatenate([np.arange(n), second]), np.arange(n + len(second)) < n
     wanted = np.concatenate([as_is, without[second]])
     apart = np.array([_number(str(r)) % 5 == 0 for r in repositories], bool)
-    report: dict[str, dict[str, float]] = {}
-    weights, biases = np.zeros((len(KINDS), 1 << BITS), np.float32), np.full(len(KINDS), -1.0)
     for i, kind in enumerate(KINDS):
         if not as_is[:, i].any():
             continue
         if validate and apart.any() and as_is[~apart, i].any():
-            keep = np.concatenate([~apart, ~apart[second]])
-            number, at = np.cumsum(keep) - 1, keep[both.rows]
-            w, b = train(Batch(int(keep.sum()), number[both.rows[at]], both.cols[at], both.vals[at]), wanted[keep, i])
-            said = np.bincount(full.rows, w[full.cols] * full.vals, n) + b > 0
+            keep = ~apart[at]
+            w, b = train(head, rest, at[keep], with_head[keep], wanted[keep, i])
+            said = head.dots(w) + rest.dots(w) + b > 0
             hit = (said & as_is[:, i] & apart).sum()
             report[kind] = {"precision": float(hit / max(1, (said & apart).sum())), "recall": float(hit / max(1, (as_is[:, i] & apart).sum())), "cases": int((as_is[:, i] & apart).sum())}
-        weights[i], biases[i] = train(both, wanted[:, i])
+        weights[i], biases[i] = train(head, rest, at, with_head, wanted[:, i])
     return Model(weights, biases, report)
 
 
 def trained(nodes: DataFrame, repository: str = "scan_id", validate: bool = False) -> Model:
-    """A model for these records. At most 2 * SAMPLE of them come to the driver."""
-    t = sample(nodes, repository).toArrow().to_pydict()
-    return fit(t["file_path"], t["language"], t["text"], t["kinds"], t["repository"], validate)
+    """A model for these records, trained by one task on at most 2 * SAMPLE of
+    them. Only the weights come to the driver: one array of 2 ** BITS a kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, schema=None).to_pydict() if (batches := list(batches)) else {k: [] for k in ("file_path", "language", "text", "kinds", "repository")}
+        model = fit(t["file_path"], t["language"], t["text"], t["kinds"], t["repository"], validate)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.biases.tobytes()]), pa.array([json.dumps(model.report)])], names=["weights", "biases", "report"])
+
+    row = sample(nodes, repository).repartition(1).mapInArrow(run, "weights binary, biases binary, report string").first()
+    if row is None:
+        return fit([], [], [], [], [])
+    return Model(np.frombuffer(row[0], np.float32).reshape(len(KINDS), -1), np.frombuffer(row[1]), json.loads(row[2]))
 
 
 def margins(nodes: DataFrame, keys: list[str], model: Model) -> DataFrame:
     """`keys` and `margins` (one number per kind, positive: it is one) of every
     record that is of some kind."""
-    shared = nodes.sparkSession.sparkContext.broadcast((model.weights, model.biases))
+    shared = nodes.sparkSession.sparkContext.broadcast((np.ascontiguousarray(model.weights.T), model.biases))
     kinds = ", ".join(f"`{k}` {nodes.schema[k].dataType.simpleString()}" for k in keys)
     width = len(keys)
 
@@ -335,13 +391,10 @@ def margins(nodes: DataFrame, keys: list[str], model: Model) -> DataFrame:
         weights, biases = shared.value
         for b in batches:
             sizes = np.fromiter((len(x.as_py() or "") for x in b.column(width + 2)), np.int64, b.num_rows)
-            i = 0
-            while i < b.num_rows:
-                j = i + max(1, int(np.searchsorted(np.cumsum(sizes[i:]), CHARS_AT_ONCE)))
+            for i, j in blocks(sizes):
                 part = b.slice(i, j - i)
-                i = j
                 columns = [part.column(width + k).to_pylist() for k in range(3)]
-                m = settle(decide(features(*columns), weights, biases), columns[0], columns[2])
+                m = settle(score(*columns, weights, biases), columns[0], columns[2])
                 hit = np.flatnonzero((m > 0).any(1))
                 kept = part.take(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([*kept.columns[:width], pa.array([list(map(float, x)) for x in m[hit]], pa.list_(pa.float64()))], names=[*keys, "margins"])
