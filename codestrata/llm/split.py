@@ -54,13 +54,16 @@ def pieces(text: Column, limit: int, overlap: int = OVERLAP) -> Column:
         lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), p.alias("piece")))).alias("out")),
     )["out"]
     cores = F.when(flat == text, placed).otherwise(F.transform(placed, lambda p: F.struct(p["start"].alias("start"), F.substring(text, p["start"] + 1, F.length(p["piece"])).alias("piece"))))
-    many = F.transform(cores, lambda p, i: _with_lookback(cores, p, i, overlap))
+    # Each piece is zipped with the one before it: a lambda that looked back into `cores` would make it anew for every piece.
+    none = F.array(F.lit(None).cast("struct<start:int,piece:string>"))
+    paired = F.zip_with(cores, F.slice(F.concat(none, cores), F.lit(1), F.size(cores)), lambda p, q: F.struct(p.alias("p"), q["piece"].alias("before")))
+    many = F.transform(paired, lambda x, i: _with_lookback(x["p"], x["before"], i, overlap))
     one = F.array(F.struct(F.lit(0).alias("chunk_index"), F.lit(0).alias("start"), F.lit(0).alias("overlap"), text.alias("piece")))
     return F.when(text.isNull(), None).when(F.char_length(text) <= limit, one).otherwise(many)
 
 
-def _with_lookback(cores: Column, p: Column, i: Column, overlap: int) -> Column:
-    tail = F.when(i > 0, F.right(F.get(cores, i - 1)["piece"], F.lit(overlap))).otherwise(F.lit("")) if overlap else F.lit("")
+def _with_lookback(p: Column, before: Column, i: Column, overlap: int) -> Column:
+    tail = F.coalesce(F.right(before, F.lit(overlap)), F.lit("")) if overlap else F.lit("")
     # Drop a partial first line, unless nothing would be left.
     tail = F.regexp_replace(tail, r"(?s)\A[^\r\n]*(?:\r\n|[\r\n])(?=.)", "")
     return F.struct(i.alias("chunk_index"), (p["start"] - F.char_length(tail)).alias("start"), F.char_length(tail).alias("overlap"), F.concat(tail, p["piece"]).alias("piece"))
