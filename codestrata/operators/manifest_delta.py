@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from codestrata.runtime import unused
 from pyspark.sql import Window as W
 
 ADDED, REMOVED, REWRITTEN, SAME = "added", "removed", "rewritten", "same"
@@ -72,16 +74,17 @@ def record_delta(records: DataFrame, parents: DataFrame, version: str, file: str
     flag = F.coalesce(always, F.lit(False)) if always is not None else F.lit(False)
     changes = diff_manifests(manifest(records, version, file, record_key, always), parents)
     live = changes.where((F.col("change") == ADDED) | (F.col("change") == REWRITTEN) | ((F.col("change") == SAME) & (F.col("n_open") > 0)))
-    live = live.select(F.col("version").alias("_v"), F.col("parent").alias("_p"), F.col("file").alias("_f"), F.col("change").alias("_c"))
-    touched = records.join(live, (F.col(version) == F.col("_v")) & F.col(file).eqNullSafe(F.col("_f"))).withColumn("_open", flag)
-    whole = touched.where((F.col("_c") == ADDED) | F.col("_open"))
-    partly = touched.where((F.col("_c") != ADDED) & ~F.col("_open"))
-    old = records.where(~flag).select(F.col(version).alias("_ov"), F.col(file).alias("_of"), *[F.col(k).alias(f"_o{i}") for i, k in enumerate(record_key)])
-    held = (F.col("_p") == F.col("_ov")) & F.col(file).eqNullSafe(F.col("_of"))
-    for i, k in enumerate(record_key):
-        held = held & F.col(k).eqNullSafe(F.col(f"_o{i}"))
-    rest = partly.join(old, held, "left_anti")
-    return whole.unionByName(rest).drop("_v", "_p", "_f", "_c", "_open")
+    v, p, f, c, o = (unused(x, records) for x in ("version_", "parent_", "file_", "change_", "open_"))
+    live = live.select(F.col("version").alias(v), F.col("parent").alias(p), F.col("file").alias(f), F.col("change").alias(c))
+    touched = records.withColumn(o, flag).join(live, (F.col(version) == F.col(v)) & F.col(file).eqNullSafe(F.col(f)))
+    whole = touched.where((F.col(c) == ADDED) | F.col(o))
+    partly = touched.where((F.col(c) != ADDED) & ~F.col(o))
+    names = [unused(f"old_{i}_", records) for i in range(len(record_key) + 2)]
+    old = records.where(~flag).select(*[F.col(k).alias(n) for k, n in zip((version, file, *record_key), names)])
+    held = F.col(p) == F.col(names[0])
+    for k, n in zip((file, *record_key), names[1:]):
+        held = held & F.col(k).eqNullSafe(F.col(n))
+    return whole.unionByName(partly.join(old, held, "left_anti")).drop(v, p, f, c, o)
 
 
 def latest_state(rows: DataFrame, key: str, at: str) -> DataFrame:
