@@ -123,7 +123,8 @@ def cap(items: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 
 def trusted(edges: DataFrame) -> DataFrame:
-    return edges.where(O.followable(F.col("origin"), F.col("confidence")) & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    """Edges that flows may walk; overlays such as co-change are no calls."""
+    return edges.where(~F.col("evidence_kind").isin(O.OVERLAYS) & O.followable(F.col("origin"), F.col("confidence")) & F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, max_depth: int = 4, limit: int = PATHS) -> DataFrame:

@@ -105,7 +105,7 @@ def braces(path: str, text: str, types: str, methods: str, endpoint: str) -> lis
     owners = [(m.start(), end(m.start()), m["name"]) for m in re.finditer(types, bare)]
     for at, stop, name in owners:
         out.append((f"{base}.{name}", name, "class", line_at(text, at), stop, json.dumps({"bases": re.findall(r"[\w.]+", (re.match(r"[^{\n]*?(?:extends|implements|:)\s*([^{\n]*)", bare[at : at + 300]) or ["", ""])[1])})))
-    for m in re.finditer(methods, bare):
+    for m in re.finditer(methods, bare, re.M):
         line = line_at(text, m.start())
         inside = [o for o in owners if line_at(text, o[0]) <= line <= o[1]]
         name = m["name"]
