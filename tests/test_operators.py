@@ -192,3 +192,39 @@ def test_stream_resumes_where_it_stopped(spark, small, tmp_path):
     for _ in range(2):
         ledger.run_available(s, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_federation_is_the_fold_in_order(spark):
+    from codestrata.operators import entities
+
+    rng = random.Random(8)
+    rows = [(s, f"r{rng.randint(0, 4)}", f"e{i}", sorted(set(rng.choices("abcde", k=rng.randint(0, 4))))) for s in ("x", "y") for i in range(25)]
+    got = {(r.stem, r.repo, r.entity): r.group for r in entities.federated(spark.createDataFrame(rows, "stem string, repo string, entity string, states array<string>")).collect()}
+    for stem in ("x", "y"):
+        leads = []
+        for s, repo, e, states in sorted(r for r in rows if r[0] == stem):
+            a = set(states)
+            at = next((i for i, g in enumerate(leads) if (len(a & g) / len(a | g) if a | g else 1.0) >= 0.7), None)
+            if at is None:
+                leads.append(a)
+                at = len(leads) - 1
+            assert got[s, repo, e] == at
+
+
+def test_entities(spark):
+    from codestrata.operators import entities
+
+    sites = spark.createDataFrame([(1, "this.kafkaClient"), (2, "redis.pool"), (3, "x")], "site long, receiver string")
+    assert sorted((r.site, r.kind) for r in entities.external_systems(sites).collect()) == [(2, "cache")]
+    g = entities.guards(spark.createDataFrame([(1, "order.status == 'PAID' and x > 1")], "id long, guard string"), spark.createDataFrame([("Order", 7)], "name string, entity long"))
+    assert [tuple(r) for r in g.collect()] == [(1, 7, "status", "==", "PAID")]
+    fk = entities.foreign_keys(spark.createDataFrame([("a", ["x", "y"], "b", ["p", "q"])], "from_table string, columns array<string>, to_table string, to_columns array<string>"))
+    assert sorted(map(tuple, fk.collect())) == [("a", "x", "b", "p"), ("a", "y", "b", "q")]
+    n = spark.createDataFrame([(1, "m.C.go", "go"), (2, "m.C", "C")], "id long, qn string, name string")
+    s = spark.createDataFrame([("s1", "C", "go", None, None), ("s2", "m.C", None, None, 0.9)], "screen string, class_name string, method string, route string, confidence double")
+    assert sorted((r.screen, r.id, r.confidence) for r in entities.screen_uses(s, n).collect()) == [("s1", 1, 0.5), ("s1", 2, 0.5), ("s2", 1, 0.9), ("s2", 2, 0.9)]
+    p = entities.procedure_edges(spark.createDataFrame([(1, "dbo.[DoIt]"), (2, "gone")], "src long, name string"), spark.createDataFrame([("doit",)], "name string"))
+    assert sorted((r.src, r.defined) for r in p.collect()) == [(1, True), (2, False)]
+    index = spark.createDataFrame([("m.f", "go", "x", "A.go", 0), ("m.f", "go", None, "B.go", 1), ("m.f", "go", "y", "C.go", 2)], "caller string, call string, receiver string, callee string, pos int")
+    site = spark.createDataFrame([(1, "m.f", "go", "y"), (2, "m.f", "go", "z"), (3, "m.g", "go", "z")], "site long, caller_qn string, name string, receiver string")
+    assert sorted(map(tuple, entities.precise_lookup(site, index).collect())) == [(1, "C.go"), (2, "B.go")]
