@@ -32,8 +32,9 @@ def richest(moves: DataFrame, key: list[str], *by: Column) -> DataFrame:
 
 def sequences(walks: DataFrame, scenario: str, item: str, pos: str, least: int = 1, direction: float = 0.75) -> DataFrame:
     """`before`, `after`, `support`, `confidence`: items of which one comes first
-    in nearly all scenarios that hold both. Only an item's first place counts,
-    so a scenario's pairs are bounded by the number of different items."""
+    in nearly all scenarios that hold both. Only an item's first place counts.
+    Scenarios are walks of bounded length (15 steps as graph.dominant_walk makes
+    them); pairs grow with the square of a walk, not of a caller's edges."""
     first = walks.groupBy(scenario, item).agg(F.min(pos).alias("p"))
     a, b = first.select(scenario, F.col(item).alias("before"), F.col("p").alias("pa")), first.select(scenario, F.col(item).alias("after"), F.col("p").alias("pb"))
     n = a.join(b, scenario).where("pa < pb").groupBy("before", "after").agg(F.count("*").alias("support"))
@@ -57,13 +58,27 @@ def conditions(walks: DataFrame, scenario: str, item: str, state: str, order: li
     return j.where((F.col("support") >= least) & (F.col("consistency") >= consistency)).select("target", "context", "state", "support", F.round("consistency", 6).alias("consistency"))
 
 
+def set_classes(sets: DataFrame, key: str, items: str, block: Column) -> DataFrame:
+    """`blk`, `i`, `rep`, `n`: equal sets of a block as one, by the least key, with how many they are."""
+    s = sets.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(items)).alias("i"), block.alias("blk")).where("blk is not null")
+    return s.groupBy("blk", "i").agg(F.min("k").alias("rep"), F.count("*").alias("n"))
+
+
+def set_members(sets: DataFrame, key: str, items: str, block: Column) -> DataFrame:
+    """`k`, `rep`: the class of every key that isn't its class's representative."""
+    s = sets.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(items)).alias("i"), block.alias("blk")).where("blk is not null")
+    return s.join(set_classes(sets, key, items, block).select("blk", "i", "rep"), ["blk", "i"]).where("k <> rep").select("k", "rep")
+
+
 def set_pairs(sets: DataFrame, key: str, items: str, block: Column) -> DataFrame:
-    """`a`, `b`, `jaccard`, `size_ratio`, `coverage` of the pairs of a block."""
-    s = sets.select(F.col(key).alias("k"), F.col(items).alias("i"), block.alias("blk")).where("blk is not null")
-    a, b = s.select("blk", F.col("k").alias("a"), F.col("i").alias("x")), s.select("blk", F.col("k").alias("b"), F.col("i").alias("y"))
+    """`a`, `b`, `n_a`, `n_b`, `jaccard`, `size_ratio`, `coverage` of the pairs of
+    different sets of a block. Equal sets are compared once, as their class's
+    representative; set_members() has the rest, so no pair of copies is made."""
+    c = cut_lineage(set_classes(sets, key, items, block))
+    a, b = c.select("blk", F.col("rep").alias("a"), F.col("i").alias("x"), F.col("n").alias("n_a")), c.select("blk", F.col("rep").alias("b"), F.col("i").alias("y"), F.col("n").alias("n_b"))
     p = a.join(b, "blk").where("a < b")
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    return p.select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.round(F.try_divide(small, large), 6).alias("size_ratio"), F.round(F.try_divide(F.size(F.array_intersect("x", "y")), small), 6).alias("coverage"))
+    return p.select("a", "b", "n_a", "n_b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.round(F.try_divide(small, large), 6).alias("size_ratio"), F.round(F.try_divide(F.size(F.array_intersect("x", "y")), small), 6).alias("coverage"))
 
 
 def pair_decision(j: Column, size: Column, similarity: Column, coverage: Column) -> Column:

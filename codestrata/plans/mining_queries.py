@@ -109,8 +109,11 @@ def fsm_rollup(spark: SparkSession, base: str) -> DataFrame:
 
 
 def sequence_mining(spark: SparkSession, base: str) -> DataFrame:
-    walks = R.edges(spark, base).join(R.nodes(spark, base).select(F.col("id").alias("dst"), "name"), "dst").select("src", "name", "edge_id")
-    return mining.sequences(walks, "src", "name", "edge_id", 2)
+    """Node types along the dominant walks from all symbols."""
+    n = R.nodes(spark, base)
+    signal = F.when(F.col("edge_kind") == "framework_binds", 2).when(F.col("edge_kind") == "calls", 1).otherwise(0)
+    walks = graph.dominant_walk(R.edges(spark, base), n.select("id"), signal, 6).join(n.select("id", "node_type"), "id")
+    return mining.sequences(walks, "start", "node_type", "pos", 2, 0.5)
 
 
 def condition_mining(spark: SparkSession, base: str) -> DataFrame:
@@ -128,9 +131,12 @@ def machine_pairs(spark: SparkSession, base: str) -> DataFrame:
 def machine_merge(spark: SparkSession, base: str) -> DataFrame:
     n = R.nodes(spark, base).where("domain is not null")
     s = n.groupBy("scan_id", "file_path").agg(F.sort_array(F.collect_set("node_type")).alias("states"), F.min("id").alias("entity"), F.min("domain").alias("d"), F.min("name").alias("name"))
-    p = mining.set_pairs(s.select(F.col("entity").alias("k"), F.col("states").alias("items"), "scan_id", "d"), "k", "items", F.concat_ws("|", F.col("scan_id").cast("string"), "d"))
-    merges = p.where(mining.pair_decision(F.col("jaccard"), F.col("size_ratio"), F.lit(1.0), F.col("coverage")) == "merge")
-    m = mining.merge_machines(s, merges)
+    sets = s.select(F.col("entity").alias("k"), F.col("states").alias("items"), "scan_id", "d")
+    block = F.concat_ws("|", F.col("scan_id").cast("string"), "d")
+    p = mining.set_pairs(sets, "k", "items", block)
+    merges = p.where(mining.pair_decision(F.col("jaccard"), F.col("size_ratio"), F.lit(1.0), F.col("coverage")) == "merge").select("a", "b")
+    alike = mining.set_members(sets, "k", "items", block).select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    m = mining.merge_machines(s, merges.unionByName(alike))
     return m.select("component", "name", "n_members", F.array_join("states", ",").alias("states"))
 
 
@@ -175,8 +181,9 @@ _HIT = _W + """, h AS (SELECT u.id AS hunk, n.id, line_start, coalesce(line_end,
   WHERE line IS NOT NULL AND line_start <= line + 1 AND coalesce(line_end, line_start) >= line - 1)"""
 _ST = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at DESC) AS k FROM scan_runs) WHERE k = 1)"
 _PAIRS = _W + """, g AS (SELECT scan_id, file_path, list_sort(list(DISTINCT node_type)) AS items, min(id) AS k, min(domain) AS d FROM n WHERE domain IS NOT NULL GROUP BY ALL),
-p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.items, b.items)) AS i, len(list_distinct(list_concat(a.items, b.items))) AS uni, least(len(a.items), len(b.items)) AS lo, greatest(len(a.items), len(b.items)) AS hi FROM g a JOIN g b ON a.scan_id = b.scan_id AND a.d = b.d AND a.k < b.k)
-SELECT a, b, round(i / uni, 6) AS jaccard, round(lo / hi, 6) AS size_ratio, round(i / lo, 6) AS coverage, CASE WHEN (i / uni >= 0.9 AND lo / hi >= 0.7) OR (i / uni >= 0.7 AND lo / hi >= 0.7) THEN 'merge' WHEN lo / hi < 0.5 AND i / lo >= 0.8 THEN 'projection' ELSE 'skip' END AS decision FROM p"""
+h AS (SELECT scan_id, d, items, min(k) AS k, count(*) AS m FROM g GROUP BY ALL),
+p AS (SELECT a.k AS a, b.k AS b, a.m AS n_a, b.m AS n_b, len(list_intersect(a.items, b.items)) AS i, len(list_distinct(list_concat(a.items, b.items))) AS uni, least(len(a.items), len(b.items)) AS lo, greatest(len(a.items), len(b.items)) AS hi FROM h a JOIN h b ON a.scan_id = b.scan_id AND a.d = b.d AND a.k < b.k)
+SELECT a, b, n_a, n_b, round(i / uni, 6) AS jaccard, round(lo / hi, 6) AS size_ratio, round(i / lo, 6) AS coverage, CASE WHEN (i / uni >= 0.9 AND lo / hi >= 0.7) OR (i / uni >= 0.7 AND lo / hi >= 0.7) THEN 'merge' WHEN lo / hi < 0.5 AND i / lo >= 0.8 THEN 'projection' ELSE 'skip' END AS decision FROM p"""
 _SITES = _BASE + r""", si AS (SELECT edge_id AS site, e.scan_id, n.qn AS caller_qn, n.file_path, n.language, regexp_extract(callee_name, '([^.]+)$', 1) AS name,
   CASE WHEN edge_type = 'dispatch' THEN nullif(regexp_extract(callee_name, '([^.]+)\.[^.]+$', 1), '') END AS receiver FROM e JOIN n ON e.src = n.id AND e.scan_id = n.scan_id),
 y AS (SELECT * REPLACE (regexp_extract(qn, '([^.]+)$', 1) AS name), regexp_extract(qn, '^(.*)\.[^.]+$', 1) AS own, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM n),
@@ -201,8 +208,10 @@ w AS (SELECT file, unnest(['test_' || b || '.' || x, b || '_test.' || x, b || 'T
 SELECT w.file, arg_min(t.file, (length(t.file), t.file)) AS test FROM w JOIN f t ON regexp_extract(t.file, '([^/]+)$', 1) = w.name GROUP BY 1""",
     "resolve_tiers": _SITES + " SELECT site, id, origin FROM f WHERE n = 1",
     "fsm_rollup": "WITH x AS (SELECT user_id AS entity, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events), m AS (SELECT * FROM x WHERE a IS NOT NULL AND a <> b) SELECT entity, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT a AS v FROM m k WHERE k.entity = m.entity UNION SELECT b FROM m k WHERE k.entity = m.entity)) AS states, count(DISTINCT (a, b)) AS n_moves, count(*) AS n_times FROM m GROUP BY entity",
-    "sequence_mining": _W + """, w AS (SELECT src, n.name, min(edge_id) AS p FROM e JOIN n ON dst = n.id GROUP BY ALL), q AS (SELECT a.name AS before, b.name AS after, count(*) AS support FROM w a JOIN w b USING (src) WHERE a.p < b.p GROUP BY ALL)
-SELECT q.before, q.after, q.support, round(q.support / (q.support + coalesce(r.support, 0)), 6) AS confidence FROM q LEFT JOIN q r ON r.before = q.after AND r.after = q.before WHERE q.support >= 2 AND q.support / (q.support + coalesce(r.support, 0)) >= 0.75""",
+    "sequence_mining": _BASE + """, nx AS (SELECT src, dst AS nxt FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1),
+wk AS (SELECT id AS start, 0 AS pos, id, [id] AS path FROM n UNION ALL SELECT start, pos + 1, nxt, list_append(path, nxt) FROM wk JOIN nx ON src = wk.id WHERE pos < 5 AND NOT list_contains(path, nxt)),
+w AS (SELECT start, node_type AS x, min(pos) AS p FROM wk JOIN n USING (id) GROUP BY ALL), q AS (SELECT a.x AS before, b.x AS after, count(*) AS support FROM w a JOIN w b USING (start) WHERE a.p < b.p GROUP BY ALL)
+SELECT q.before, q.after, q.support, round(q.support / (q.support + coalesce(r.support, 0)), 6) AS confidence FROM q LEFT JOIN q r ON r.before = q.after AND r.after = q.before WHERE q.support >= 2 AND q.support / (q.support + coalesce(r.support, 0)) >= 0.5""",
     "condition_mining": """WITH r AS (SELECT user_id, event_type, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 f AS (SELECT user_id, event_type AS target, min(p) AS tp FROM r GROUP BY ALL), z AS (SELECT f.user_id, target, r.event_type AS context, arg_max(s, p) AS state FROM f JOIN r ON f.user_id = r.user_id AND p < tp AND r.event_type <> target GROUP BY ALL),
 b AS (SELECT target, context, count(*) AS base FROM z GROUP BY ALL), k AS (SELECT target, context, state, count(*) AS support FROM z GROUP BY ALL) SELECT target, context, state, support, round(support / base, 6) AS consistency FROM k JOIN b USING (target, context) WHERE support >= 2 AND support / base >= 0.5""",

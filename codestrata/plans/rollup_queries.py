@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata import origins as O
-from codestrata.operators import graph, rollups
+from codestrata.operators import graph, mining, rollups
 from codestrata.operators.manifest_delta import latest_state
 from codestrata.plans import relations as R
 from codestrata.plans.graph_queries import _BASE
@@ -167,12 +167,10 @@ def scans_recent(spark: SparkSession, base: str) -> DataFrame:
 
 
 def common_callees(spark: SparkSession, base: str) -> DataFrame:
-    """Jaccard of the callee names of the callers within a file, at least a half."""
+    """Jaccard of the callee names of the callers within a file, at least a half; callers with the same callees as one."""
     n = R.nodes(spark, base).select(F.col("id").alias("src"), "scan_id", "file_path")
     sets = R.edges(spark, base).join(n, ["src", "scan_id"]).groupBy("scan_id", "file_path", "src").agg(F.collect_set("callee_name").alias("names"))
-    a, b = sets.select("scan_id", "file_path", F.col("src").alias("a"), F.col("names").alias("x")), sets.select("scan_id", "file_path", F.col("src").alias("b"), F.col("names").alias("y"))
-    j = a.join(b, ["scan_id", "file_path"]).where("a < b").select("a", "b", F.round(rollups.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
-    return j.where("jaccard >= 0.5")
+    return mining.set_pairs(sets, "src", "names", F.concat_ws("|", F.col("scan_id").cast("string"), "file_path")).where("jaccard >= 0.5").select("a", "b", "n_a", "n_b", "jaccard")
 
 
 def scan_diff(spark: SparkSession, base: str) -> DataFrame:
@@ -240,8 +238,9 @@ SELECT centre, side, id, round(coalesce(o_conf, confidence, 0), 6) AS confidence
     "did_you_mean": _W + " SELECT DISTINCT qn FROM n WHERE instr(lower(qn), 'ledger') > 0 ORDER BY length(qn), qn LIMIT 5",
     "hub_top": _W + " SELECT dst AS id, count(DISTINCT src) AS in_degree FROM e WHERE dst IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "scans_recent": f"WITH {_STATE} SELECT s.id, status, (SELECT count(DISTINCT c.id) FROM code_nodes c WHERE c.scan_id = s.id) AS n_nodes FROM s ORDER BY s.id DESC LIMIT 20",
-    "common_callees": _W + """, x AS (SELECT n.scan_id, file_path, src, list_sort(list(DISTINCT callee_name)) AS names FROM e JOIN n ON src = n.id AND e.scan_id = n.scan_id GROUP BY ALL)
-SELECT a.src AS a, b.src AS b, round(len(list_intersect(a.names, b.names)) / len(list_distinct(list_concat(a.names, b.names))), 6) AS jaccard FROM x a JOIN x b USING (scan_id, file_path) WHERE a.src < b.src AND jaccard >= 0.5""",
+    "common_callees": _W + """, x AS (SELECT n.scan_id, file_path, src, list_sort(list(DISTINCT callee_name)) AS names FROM e JOIN n ON src = n.id AND e.scan_id = n.scan_id GROUP BY ALL),
+c AS (SELECT scan_id, file_path, names, min(src) AS src, count(*) AS m FROM x GROUP BY ALL)
+SELECT a.src AS a, b.src AS b, a.m AS n_a, b.m AS n_b, round(len(list_intersect(a.names, b.names)) / len(list_distinct(list_concat(a.names, b.names))), 6) AS jaccard FROM c a JOIN c b USING (scan_id, file_path) WHERE a.src < b.src AND jaccard >= 0.5""",
     "scan_diff": f"""WITH {_STATE}, f AS (SELECT project_slug, scan_id, file_path, max(lower(trim(file_hash))) AS h FROM code_nodes JOIN s ON scan_id = s.id GROUP BY ALL),
 c AS (SELECT * FROM f WHERE scan_id IN (SELECT scan_id FROM current_scan)), a AS (SELECT * FROM f WHERE (project_slug, scan_id) IN (SELECT project_slug, min(scan_id) FROM f GROUP BY 1))
 SELECT * FROM (SELECT project_slug, file_path, CASE WHEN a.scan_id IS NULL THEN 'added' WHEN c.scan_id IS NULL THEN 'removed' WHEN a.h IS DISTINCT FROM c.h THEN 'changed' END AS change FROM a FULL JOIN c USING (project_slug, file_path)) WHERE change IS NOT NULL""",
