@@ -33,7 +33,7 @@ def impact_unknowns(spark: SparkSession, base: str) -> DataFrame:
 def impact_top(spark: SparkSession, base: str) -> DataFrame:
     n, _, reached, _ = _impact(spark, base)
     items = graph.impact_items(n, reached)
-    return graph.cap(items, graph.ITEMS, F.desc("score"), F.asc("depth"), F.asc("node"), F.asc("id")).select("rank", "id", "score", "total", "omitted")
+    return graph.cap(items, graph.ITEMS, F.desc("score"), F.asc("depth"), F.asc("node"), F.asc("id")).select(F.col("rank").cast("long").alias("rank"), "id", "score", "total", "omitted")
 
 
 def impact_by_kind(spark: SparkSession, base: str) -> DataFrame:

@@ -107,7 +107,7 @@ def mask_counts(spark: SparkSession, base: str) -> DataFrame:
 
 def knn_l2(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "embeddings")
-    return V.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query", "vec_id", F.round("distance", 4).alias("distance"), "rank")
+    return V.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query", "vec_id", F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 def dual_search(spark: SparkSession, base: str) -> DataFrame:
