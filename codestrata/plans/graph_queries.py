@@ -207,5 +207,8 @@ d0 AS (SELECT min(id) AS id FROM n), d1 AS (SELECT DISTINCT b AS id FROM bo JOIN
 d2 AS (SELECT DISTINCT b AS id FROM bo JOIN d1 ON a = id WHERE b NOT IN (SELECT id FROM d0 UNION SELECT id FROM d1))
 SELECT id, 0 AS distance FROM d0 UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2""",
     "call_paths": _PATHS, "slices_forward": _SLICES + " SELECT entry, id, depth FROM sl",
+    "slice_stops": _SLICES + """, o2 AS (SELECT src AS id, count(*) AS k FROM tn GROUP BY 1), ch AS (SELECT DISTINCT a.entry, a.id FROM sl a JOIN tn ON tn.src = a.id JOIN sl b ON b.entry = a.entry AND b.id = tn.dst AND b.depth = a.depth + 1),
+z AS (SELECT sl.depth, CASE WHEN ch.id IS NOT NULL THEN NULL WHEN node_type = 'external_system' THEN 'external_boundary' WHEN node_type = 'db_model' THEN 'db_boundary' WHEN k IS NULL THEN 'leaf_no_callees' WHEN sl.depth >= 3 THEN 'depth_cap' ELSE 'cycle' END AS stop FROM sl LEFT JOIN o2 USING (id) LEFT JOIN ch ON ch.entry = sl.entry AND ch.id = sl.id LEFT JOIN n ON n.id = sl.id)
+SELECT stop, depth, count(*) AS n FROM z WHERE stop IS NOT NULL GROUP BY ALL""",
     "entry_links": _LINKS, "primary_walk": _WALK, "stale_propagation": _FOLDERS, "scan_origin": _CHAIN, "name_components": _COMPONENTS,
 }

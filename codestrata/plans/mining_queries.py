@@ -207,6 +207,8 @@ SELECT f.scan_id, f.file_path, (SELECT arg_max(root, length(root)) FROM r WHERE
 w AS (SELECT file, unnest(['test_' || b || '.' || x, b || '_test.' || x, b || 'Test.' || x, b || 'Tests.' || x, b || '.test.' || x, b || '.spec.' || x, b || 'Spec.' || x, b || '_spec.' || x]) AS name FROM b)
 SELECT w.file, arg_min(t.file, (length(t.file), t.file)) AS test FROM w JOIN f t ON regexp_extract(t.file, '([^/]+)$', 1) = w.name GROUP BY 1""",
     "resolve_tiers": _SITES + " SELECT site, id, origin FROM f WHERE n = 1",
+    "unresolved_reasons": _SITES + " SELECT reason, count(*) AS n FROM (SELECT CASE WHEN f.n > 1 THEN 'ambiguous' WHEN name IN ('" + "', '".join(resolve.BUILTINS) + "') OR regexp_matches(name, '^__.*__$') THEN 'builtin' WHEN regexp_matches(coalesce(receiver, ''), '[(\\[]') THEN 'dynamic' ELSE 'not_found' END AS reason FROM si LEFT JOIN f USING (site) WHERE f.n IS NULL OR f.n > 1) GROUP BY 1",
+    "dispatch_fanout": _SITES + ", m AS (SELECT scan_id, name, count(*) AS k FROM y WHERE node_type IN ('method', 'function', 'endpoint') GROUP BY ALL) SELECT CASE WHEN k = 1 THEN 'framework' ELSE 'dispatch' END AS origin, CAST(sum(k) AS BIGINT) AS n FROM si JOIN m USING (scan_id, name) WHERE k <= 24 GROUP BY 1",
     "fsm_rollup": "WITH x AS (SELECT user_id AS entity, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events), m AS (SELECT * FROM x WHERE a IS NOT NULL AND a <> b) SELECT entity, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT a AS v FROM m k WHERE k.entity = m.entity UNION SELECT b FROM m k WHERE k.entity = m.entity)) AS states, count(DISTINCT (a, b)) AS n_moves, count(*) AS n_times FROM m GROUP BY entity",
     "sequence_mining": _BASE + """, nx AS (SELECT src, dst AS nxt FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1),
 wk AS (SELECT id AS start, 0 AS pos, id, [id] AS path FROM n UNION ALL SELECT start, pos + 1, nxt, list_append(path, nxt) FROM wk JOIN nx ON src = wk.id WHERE pos < 5 AND NOT list_contains(path, nxt)),

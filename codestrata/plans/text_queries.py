@@ -154,6 +154,8 @@ SELECT doc_id, round(sum(1.0 / (60 + k)), 5) AS score, string_agg(s, ',' ORDER B
     "domain_inference": _N + f", x AS (SELECT id, string_split(qn, '.') AS q, string_split(file_path, '/') AS f FROM n) SELECT id, lower(coalesce(list_filter(q[1:len(q) - 1], lambda p: p <> '' AND lower(p) NOT IN ({_NOT}))[1], list_filter(f[1:len(f) - 1], lambda p: p <> '' AND lower(p) NOT IN ({_NOT}))[1])) AS inferred FROM x",
     "grounding_check": _N + r""", r AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '`([A-Za-z_][\w.]*)`', 1)) AS ref FROM documents),
 k AS (SELECT name FROM n UNION SELECT qn FROM n UNION SELECT unnest(string_split(qn, '.')) FROM n) SELECT doc_id, ref FROM r WHERE ref NOT IN (SELECT name FROM k WHERE name IS NOT NULL)""",
+    "routes_normal": _N + r", x AS (SELECT id, lower(rtrim(regexp_replace(split_part(regexp_extract(annotations, 'Route\(([^)]*)\)', 1), '?', 1), '\{[^}/]*\}|:[A-Za-z_]\w*|\$\{[^}]*\}|<[^>/]*>', '*', 'g'), '/')) AS r FROM n WHERE annotations LIKE '%Route(%') SELECT id, CASE WHEN r = '' THEN '/' ELSE r END AS route FROM x",
+    "plain_snippets": r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '[#*_`>|]+', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS n FROM documents WHERE text IS NOT NULL",
     "page_ids": r"SELECT doc_id, concat_ws(':', source, regexp_replace(title, '\s+', '-', 'g')) AS page_id FROM documents",
     "knn_l2": "WITH x AS (SELECT q.vec_id AS query, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) SELECT query, vec_id, round(d, 4) AS distance, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM x QUALIFY rank <= 5",
     "dual_search": "WITH x AS (SELECT CASE WHEN e.vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings e WHERE q.vec_id = 0) SELECT source, vec_id, round(d, 4) AS distance FROM x ORDER BY d, source, vec_id LIMIT 5",
