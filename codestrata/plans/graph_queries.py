@@ -86,6 +86,26 @@ def primary_walk(spark: SparkSession, base: str) -> DataFrame:
     return graph.dominant_walk(R.edges(spark, base), _entries(spark, base), signal, 4)
 
 
+# The same traversals as far as the operators go by default. The SQL below is unrolled to fewer levels; these have none.
+def slices_forward_whole(spark: SparkSession, base: str) -> DataFrame:
+    return graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base)).select("entry", "id", "depth")
+
+
+def slice_stops_whole(spark: SparkSession, base: str) -> DataFrame:
+    s = graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base))
+    return s.where("stop is not null").groupBy("stop", "depth").agg(F.count("*").alias("n"))
+
+
+def entry_links_whole(spark: SparkSession, base: str) -> DataFrame:
+    starts = R.nodes(spark, base).where("node_type = 'db_model'").select("id")
+    return graph.entry_links(R.edges(spark, base), starts, _entries(spark, base)).select("start", "entry", "hops", F.round("confidence", 6).alias("confidence"))
+
+
+def primary_walk_whole(spark: SparkSession, base: str) -> DataFrame:
+    signal = F.when(F.col("edge_kind") == "framework_binds", 2).when(F.col("edge_kind") == "calls", 1).otherwise(0)
+    return graph.dominant_walk(R.edges(spark, base), _entries(spark, base), signal)
+
+
 def _folders(spark, base) -> DataFrame:
     """Path of every file and folder with that of its parent; the root has none."""
     f = R.nodes(spark, base).select("scan_id", "file_path").distinct()
@@ -195,7 +215,7 @@ p AS (SELECT * FROM (SELECT id, lag(id) OVER (PARTITION BY project_slug, branch
 w AS (SELECT id, target, 1 AS hops FROM p UNION ALL SELECT w.id, p.target, hops + 1 FROM w JOIN p ON w.target = p.id WHERE hops < 40)
 SELECT id, CASE WHEN hops <= 32 THEN target END AS target, CASE WHEN hops <= 32 THEN hops END AS hops FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS k FROM w) WHERE k = 1"""
 
-QUERIES = {f.__name__: f for f in (impact_reverse, impact_unknowns, impact_top, impact_by_kind, hub_nodes, neighbourhood_2, call_paths, slices_forward, slice_stops, entry_links, primary_walk, stale_propagation, scan_origin, name_components)}
+QUERIES = {f.__name__: f for f in (impact_reverse, impact_unknowns, impact_top, impact_by_kind, hub_nodes, neighbourhood_2, call_paths, slices_forward, slice_stops, entry_links, primary_walk, slices_forward_whole, slice_stops_whole, entry_links_whole, primary_walk_whole, stale_propagation, scan_origin, name_components)}
 ORACLE = {
     "impact_reverse": _ITEMS + " SELECT * FROM items",
     "impact_unknowns": _LEVELS + " SELECT * FROM (" + " UNION ".join(map(_unknowns, (0, 1, 2))) + ")",

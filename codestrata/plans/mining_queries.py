@@ -116,6 +116,14 @@ def sequence_mining(spark: SparkSession, base: str) -> DataFrame:
     return mining.sequences(walks, "start", "node_type", "pos", 2, 0.5)
 
 
+def sequence_mining_whole(spark: SparkSession, base: str) -> DataFrame:
+    """The same along walks of the default length; without SQL."""
+    n = R.nodes(spark, base)
+    signal = F.when(F.col("edge_kind") == "framework_binds", 2).when(F.col("edge_kind") == "calls", 1).otherwise(0)
+    walks = graph.dominant_walk(R.edges(spark, base), n.select("id"), signal).join(n.select("id", "node_type"), "id")
+    return mining.sequences(walks, "start", "node_type", "pos", 2, 0.5)
+
+
 def condition_mining(spark: SparkSession, base: str) -> DataFrame:
     return mining.conditions(_log(spark, base), "user_id", "event_type", "level", ["ts", "event_id"], 2, 0.5)
 
@@ -143,7 +151,7 @@ def machine_merge(spark: SparkSession, base: str) -> DataFrame:
 def file_communities(spark: SparkSession, base: str) -> DataFrame:
     w = rollups.file_graph(R.nodes(spark, base), R.edges(spark, base)).select(F.col("file_a").alias("a"), F.col("file_b").alias("b"), "weight")
     v = R.nodes(spark, base).select(F.concat_ws("/", F.col("scan_id").cast("string"), "file_path").alias("id")).distinct()
-    return mining.communities(w, v, 4).groupBy("community").agg(F.count("*").alias("n_files"))
+    return mining.communities(w, v).groupBy("community").agg(F.count("*").alias("n_files"))
 
 
 def pack_batches(spark: SparkSession, base: str) -> DataFrame:
@@ -195,7 +203,7 @@ UNION SELECT site, 6, 'same_package', y.id FROM x JOIN y ON x.scan_id = y.scan_i
 UNION SELECT site, 7, CASE WHEN receiver IS NULL THEN 'global_unique' ELSE 'receiver_global' END, y.id FROM x JOIN y ON x.scan_id = y.scan_id AND x.name = y.name AND lower(x.language) IS NOT DISTINCT FROM lower(y.language)),
 pt AS (SELECT site, tier, count(DISTINCT id) AS n, min(id) AS id, min(origin) AS origin FROM c GROUP BY ALL), f AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY site ORDER BY tier) = 1)"""
 
-QUERIES = {f.__name__: f for f in (hunk_overlap, innermost_span, longest_prefix_root, as_of_value, provider_consumer, convention_tests, module_files, resolve_tiers, unresolved_reasons, dispatch_fanout, fsm_rollup, sequence_mining, condition_mining, machine_pairs, machine_merge, file_communities, pack_batches, snapshot_gc, drift_check, reuse_by_hash)}
+QUERIES = {f.__name__: f for f in (hunk_overlap, innermost_span, longest_prefix_root, as_of_value, provider_consumer, convention_tests, module_files, resolve_tiers, unresolved_reasons, dispatch_fanout, fsm_rollup, sequence_mining, sequence_mining_whole, condition_mining, machine_pairs, machine_merge, file_communities, pack_batches, snapshot_gc, drift_check, reuse_by_hash)}
 ORACLE = {
     "hunk_overlap": _HIT + " SELECT hunk, id FROM h",
     "innermost_span": _HIT + " SELECT hunk, id FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.hunk = h.hunk AND h.line_start <= o.line_start AND h.line_end >= o.line_end AND (h.line_start < o.line_start OR h.line_end > o.line_end))",

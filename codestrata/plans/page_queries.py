@@ -16,7 +16,7 @@ from codestrata.streaming import ledger
 
 
 def _ctx(spark, base) -> P.Context:
-    return P.Context(R.nodes(spark, base), R.edges(spark, base), R.unresolved(spark, base), {"flow_depth": 3})
+    return P.Context(R.nodes(spark, base), R.edges(spark, base), R.unresolved(spark, base))
 
 
 def _pages(name):
@@ -33,6 +33,12 @@ def page_facts(spark: SparkSession, base: str) -> DataFrame:
     return p.select("page_id", F.get_json_object("facts", "$.symbols").cast("long").alias("symbols"), F.get_json_object("facts", "$.entries").cast("long").alias("entries"))
 
 
+def flow_facts(spark: SparkSession, base: str) -> DataFrame:
+    """Facts of flow pages, taken apart again."""
+    p = P.run_builders(_ctx(spark, base), ["flows"])
+    return p.select("page_id", *(F.get_json_object("facts", f"$.{k}").cast("long").alias(k) for k in ("steps", "depth", "stops")))
+
+
 def export_paths(spark: SparkSession, base: str) -> DataFrame:
     return sinks.markdown(P.run_builders(_ctx(spark, base), ["domains"])).select("path", F.length("body").alias("n"))
 
@@ -82,7 +88,7 @@ def window_sessions(spark: SparkSession, base: str) -> DataFrame:
 
 
 _W = f"WITH {R.NODES}, {R.EDGES}, {R.UNRESOLVED}"
-QUERIES = {f"pages_{n}": _pages(n) for n in P.BUILDERS} | {f.__name__: f for f in (page_facts, export_paths, first_writers, parsed_symbols, stream_dedupe, window_tumbling, window_sliding, window_sessions)}
+QUERIES = {f"pages_{n}": _pages(n) for n in P.BUILDERS} | {f.__name__: f for f in (page_facts, flow_facts, export_paths, first_writers, parsed_symbols, stream_dedupe, window_tumbling, window_sliding, window_sessions)}
 ORACLE = {
     "pages_overview": _W + " SELECT DISTINCT 'overview:' || scan_id AS page_id, 'overview' AS type, CAST(scan_id AS VARCHAR) AS title FROM n",
     "pages_modules": _W + ", f AS (SELECT DISTINCT scan_id, string_split(file_path, '/') AS p FROM n WHERE contains(file_path, '/')), d AS (SELECT DISTINCT scan_id, array_to_string(p[1:k], '/') AS dir FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f)) SELECT 'module:' || scan_id || '/' || dir AS page_id, 'module' AS type, dir AS title FROM d",
