@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ PLACEHOLDER_PARTS = ("example", "changeme", "change-me", "change_me", "placehold
 LOGINS = {"connect", "login", "logon", "signin", "authenticate", "session", "bind", "auth", "credentials"}  # words of functions that take a user and a secret
 PAIRS = {"bind", "login", "logon", "signin", "account", "creds", "credentials", "userpass"}  # names of values like user/secret
 ANCHORS = ["pass", "pwd", "pw_", "_pw", "pw=", "secret", "token", "cred", " pw ", "pw:", "pw is", "kennwort", "contras", "clave", "senha", "парол", "haslo", "hasło", "wachtwoord", "parola", "密码", "密碼", "パスワード", "비밀번호", "mdp", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private key", "signing", "masterkey", "master_key", "master-key", "deploykey", "deploy_key", "deploy-key", "licensekey", "license_key", "licence", "aeskey", "aes_key", "aes-key", "hmac", "encryption", "sharedkey", "shared_key", "storagekey", "storage_key", "accountkey", "account_key", "service_key", "servicekey", "ssh_key", "sshkey", "auth", "pin_code", "pincode", "_pin", "bearer", "basic ", "jwt", "akia", "asia", "aiza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live", "sk_test", "rk_live", "sk-", "xox", "npm_", "sg.", "eyj", "/services/", "identified by", "curl ", "connect", "login", "logon", "signin", "sign_in", "session", "bind", "account", "zugang", "then type", "prompt", "mysql", "mariadb", "redis-cli", "ldapsearch", "sqlplus", "mongodump", "://"]
+# Short names are looked for as words of their own; the other names as they read without separators, whatever stands between their words.
+BARE_NAMES = sorted(w for w in SHORT_NAMES if not any(a in w for a in ANCHORS))
+_SEPARATORS = {c: None for c in range(0xFFFF) if not chr(c).isalnum()}
+_KEPT = np.array([c not in _SEPARATORS for c in range(0x10000)])
 # Tokens whose form alone tells.
 KNOWN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}"
@@ -135,6 +140,11 @@ def usable(v: str) -> bool:
     return (digit and (low or up or len(v) >= 10)) or (sign and (low or up))
 
 
+def _begins_word(text: str, a: int, b: int) -> bool:
+    """Whether a short name in a text can be a word of an identifier."""
+    return not text[b : b + 1].islower() and (text[a].isupper() or not text[a - 1 : a].isalpha() or not a)
+
+
 def _inside(tok: re.Match) -> tuple[int, int]:
     """The place of a string literal's contents."""
     a, b = tok.span("str")
@@ -146,22 +156,32 @@ def _inside(tok: re.Match) -> tuple[int, int]:
 
 class Finder:
     def __init__(self):
-        self.words = ahocorasick.Automaton()
-        for w in ANCHORS:
-            self.words.add_word(w, len(w))
+        self.words, self.names = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for w in (*ANCHORS, *BARE_NAMES):
+            self.words.add_word(w, (len(w), w in BARE_NAMES))
+        for w in (*SECRET_ENDS, "pass"):
+            self.names.add_word(w, len(w))
         self.words.make_automaton()
+        self.names.make_automaton()
+
+    def anchors(self, text: str) -> list[int]:
+        """Where a word begins that can name or begin a credential, in order."""
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        at = {end + 1 - size for end, (size, bare) in self.words.iter(low) if not bare or _begins_word(text, end + 1 - size, end + 1)}
+        if named := [end + 1 - size for end, size in self.names.iter(low.translate(_SEPARATORS))]:
+            chars = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+            at.update(np.flatnonzero(_KEPT[np.minimum(chars, 0xFFFF)])[named].tolist())
+        return sorted(at)
 
     def find(self, text: str | None) -> list[tuple[int, int]]:
         """Start and end of every secret, in order, without overlaps."""
         if not text:
             return []
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         out: list[tuple[int, int]] = []
         done, block = -1, False
-        for end, size in self.words.iter(low):
-            at = end + 1 - size
+        for at in self.anchors(text):
             if at < done:
                 continue
             a, b = text.rfind("\n", 0, at) + 1, text.find("\n", at)
@@ -169,7 +189,7 @@ class Finder:
             far = b - a > 2 * FAR
             if far:
                 a, b = max(a, at - NEAR), min(b, at + FAR)
-                done = max(end + 1, b - NEAR)
+                done = max(at + 1, b - NEAR)
             else:
                 more = 0
                 while more < 4 and b < len(text) and text[a:b].rstrip().endswith(("+", "\\", "(", ",", "{", "[", ".", "=", ":")):
