@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -48,7 +50,7 @@ KNOWN = re.compile(
     r"|xox[abposr]-(?:\d+-)+[A-Za-z0-9-]{16,}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9])"
 )
 HOOK = re.compile(r"https?://[^\s\"'<>]*?/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/([A-Za-z0-9]{16,})")
-URL_USER = re.compile(r"[a-zA-Z][\w+.-]*://([^\s:/@\"'<>`]*):([^\s/@\"'<>`]+)@[\w\[]")
+URL_USER = re.compile(r"(?<=[\w+.-])://([^\s:/@\"'<>`]*):([^\s/@\"'<>`]+)@[\w\[]")
 PARAM = re.compile(r"(?:[?&;]|(?<=[\"'\s]))([A-Za-z_][\w .-]{0,30}?)\s?=\s?([^;&\"'\s<>`]+)")
 SCHEME = re.compile(r"(?i)\b(bearer|basic|token)\s+([A-Za-z0-9+/_.~-]{12,}={0,2})(?![\w<{$])")
 BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(.{40,}?)-----END \1-----", re.S)
@@ -56,9 +58,6 @@ PROSE = [
     re.compile(r"(?i)\bidentified\s+by\s+(?:password\s+)?(['\"])(?P<v>[^'\"\n]+)\1"),
     re.compile(r"(?i)\bpassword\s+(['\"])(?P<v>[^'\"\n]+)\1"),
     re.compile(r"(?i)\bsshpass\s+-p\s*(?P<q>['\"]?)(?P<v>[^'\"\s]+)(?P=q)"),
-    re.compile(r"(?i)\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[ =](?P<q>['\"]?)[^\s:'\"]+:(?P<v>[^\s'\"]+)(?P=q)"),
-    re.compile(r"(?i)\b(?:mysql\w*|mariadb\w*|mongo\w*)\b[^\n]*?\s(?:-p|--password[= ])(?P<v>[^\s'\"]+)"),
-    re.compile(r"(?i)\b(?:redis-cli|ldapsearch|ldapadd|smbclient)\b[^\n]*?\s-(?:a|w|U)\s*(?:[\w.-]+%)?(?P<v>[^\s'\"]+)"),
     re.compile(r"(?i)\bsqlplus\s+[\w.-]+/(?P<v>[^\s@'\"]+)@"),
     re.compile(r"(?i)\b(?:type|enter|paste|tippe|tape[rz]?|escriba)\s+(?P<v>\S+)\s+(?:at|into|as|on|in|when)\b"),
     re.compile(r"(?i)\b(?:login|log-in|access|acceso|accès|zugang|acesso|dostęp|доступ|credentials?|account)\b[^\n]{0,80}?[:,]\s*[\w.@-]+\s*[/|]\s*(?P<v>\S+)"),
@@ -66,6 +65,12 @@ PROSE = [
     re.compile(r"(?i)(?<!\w)(?:passwor[dt]|passwd|pwd|pw|pass|passphrase|secret|token|api key|kennwort|пароль|contraseña|clave|senha|mot de passe|hasło)\s+(?:is|was|ist|lautet|est|es|é|to|jest|это|=|:|->|→)\s*(?P<v>[^\s'\"]+)"),
     re.compile(r"(?i)(?:passwor[dt]|kennwort|пароль|contraseña|senha|mot de passe|hasło|密码|パスワード)[^\n:=]{0,60}[:=：]\s*(?P<v>[^\s'\"]+)\s*(?:\*/|-->)?\s*$"),
 ]
+# Commands and what follows them on the line; apart, so that a long line with many of them is gone through once.
+COMMANDS = [
+    (re.compile(r"(?i)\b(?:curl|wget|http)\b"), re.compile(r"(?i)\s(?:-u|--user)[ =](?P<q>['\"]?)[^\s:'\"]+:(?P<v>[^\s'\"]+)(?P=q)")),
+    (re.compile(r"(?i)\b(?:mysql\w*|mariadb\w*|mongo\w*)\b"), re.compile(r"(?i)\s(?:-p|--password[= ])(?P<v>[^\s'\"]+)")),
+    (re.compile(r"(?i)\b(?:redis-cli|ldapsearch|ldapadd|smbclient)\b"), re.compile(r"(?i)\s-(?:a|w|U)\s*(?:[\w.-]+%)?(?P<v>[^\s'\"]+)")),
+]
 TOKEN = re.compile(
     r"(?P<str>(?:[bBrRuUfFL@$]{1,2}(?=[\"']))?(?:\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`))"
     r"|(?P<num>0[xX][0-9a-fA-F]+|\d+)|(?P<id>\$?[^\W\d][\w$]*(?:(?:\.|->|::|-(?=[^\W\d]))[^\W\d][\w$]*)*)|(?P<op>:=|=>|==|!=|[=:,()\[\]{}+.;<>?&|])|(?P<ws>\s+)|(?P<any>.)",
@@ -76,7 +81,7 @@ MARKUP = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]+)</\1>")
 XML_ADD = re.compile(r"(?:key|name|id)\s*=\s*\"([^\"]+)\"\s+value\s*=\s*\"([^\"]*)\"")
 _WORDS = re.compile(r"[A-ZÀ-Þ]+(?![a-zß-ÿ])|[A-ZÀ-Þ]?[^\W\d_A-ZÀ-Þ]+|\d+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-FAR, NEAR = 600, 300  # of a very long line, so many characters after and before a word are looked at
+FAR, NEAR = 600, 300  # a line of more than twice FAR characters is also read anew this near to every word, in case a stray quote misleads the reading from its start
 
 
 @lru_cache(maxsize=50_000)
@@ -154,6 +159,32 @@ def _inside(tok: re.Match) -> tuple[int, int]:
     return a + n, b - n
 
 
+class Tokens:
+    """The tokens of a text from a place on, without blanks, read as they are
+    asked for; at the end of a line, b, a quote that is open there is none."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.rest, self.read, self.first = chain(TOKEN.finditer(text, a, b), TOKEN.finditer(text, b)), [], 0
+
+    def has(self, i: int) -> bool:
+        while i - self.first >= len(self.read):
+            t = next(self.rest, None)
+            if t is None:
+                return False
+            if t.lastgroup != "ws":
+                self.read.append(t)
+        return True
+
+    def __getitem__(self, i: int) -> re.Match:
+        return self.read[i - self.first]
+
+    def drop(self, i: int) -> None:
+        """Forget what stands before token i."""
+        if i - self.first > 10_000:
+            del self.read[: i - self.first]
+            self.first = i
+
+
 class Finder:
     def __init__(self):
         self.words, self.names = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -181,22 +212,20 @@ class Finder:
             return []
         out: list[tuple[int, int]] = []
         done, block = -1, False
-        for at in self.anchors(text):
+        words = self.anchors(text)
+        for at in words:
             if at < done:
                 continue
             a, b = text.rfind("\n", 0, at) + 1, text.find("\n", at)
             b = len(text) if b < 0 else b
             far = b - a > 2 * FAR
-            if far:
-                a, b = max(a, at - NEAR), min(b, at + FAR)
-                done = max(at + 1, b - NEAR)
-            else:
+            if not far:
                 more = 0
                 while more < 4 and b < len(text) and text[a:b].rstrip().endswith(("+", "\\", "(", ",", "{", "[", ".", "=", ":")):
                     nxt = text.find("\n", b + 1)
                     b, more = (len(text) if nxt < 0 else nxt), more + 1
-                done = text.find("\n", at)
-                done = len(text) if done < 0 else done
+            done = text.find("\n", at)
+            done = len(text) if done < 0 else done
             if "-----" in text[a:b] and not block:
                 block = True
                 for m in BLOCK.finditer(text):
@@ -204,6 +233,12 @@ class Finder:
                     if len(body) >= 40 and len(set(body)) > 8:
                         out.append(m.span(2))
             out += self._line(text, a, b, far)
+            if far:
+                seen = -1
+                for near in words[bisect_left(words, at) : bisect_left(words, done)]:
+                    if near >= seen:
+                        out += self._tokens(text, max(a, near - NEAR), b, near + FAR)
+                        seen = near + FAR - NEAR
         merged: list[tuple[int, int]] = []
         for a, b in sorted(set(out)):
             if merged and a < merged[-1][1]:
@@ -242,7 +277,15 @@ class Finder:
             for m in p.finditer(first):
                 if usable(m["v"].rstrip(".,;:)")):
                     yield a + m.start("v"), a + m.end("v")
-        m = None if far else RAW.match(first.rstrip("\r"))
+        for command, option in COMMANDS:
+            m = command.search(first)
+            while m and (m := option.search(first, m.end())):
+                if usable(m["v"].rstrip(".,;:)")):
+                    yield a + m.start("v"), a + m.end("v")
+                m = command.search(first, m.end())
+        m = RAW.match(first.rstrip("\r"))
+        if m and far and not re.fullmatch(r"[\w+/=.~-]+", m[2]):
+            m = None  # code
         if m and names_secret(m[1]):
             v = re.sub(r"\s+#.*$", "", m[2]).rstrip(",;")
             if usable(v):
@@ -256,9 +299,11 @@ class Finder:
                 yield a + m.start(2) + at, a + m.end(2)
         yield from self._tokens(text, a, b)
 
-    def _tokens(self, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-        toks = [t for t in TOKEN.finditer(text, a, b) if t.lastgroup != "ws"]
-        for i, t in enumerate(toks):
+    def _tokens(self, text: str, a: int, b: int, upto: int | None = None) -> Iterator[tuple[int, int]]:
+        """Of the names from a to b, or `upto`; what they are given is followed as far as it goes."""
+        toks, i, upto = Tokens(text, a, b), -1, b if upto is None else min(upto, b)
+        while toks.has(i := i + 1) and (t := toks[i]).start() < upto:
+            toks.drop(i)
             if t.lastgroup == "id":
                 name, key = t["id"], False
             elif t.lastgroup == "str":
@@ -269,7 +314,7 @@ class Finder:
             else:
                 continue
             j = i + 1
-            if not key and j < len(toks) and toks[j][0] == "(":
+            if not key and toks.has(j) and toks[j][0] == "(":
                 tail = re.split(r"\.|->|::", name)[-1]
                 if LOGINS & {w.lower() for w in _WORDS.findall(tail)} or tail.lower() in ("signin", "logon", "sign_in"):
                     found = self._arguments(text, toks, j)
@@ -283,65 +328,81 @@ class Finder:
                     continue
             if not names_secret(name) and not names_pair(name):
                 continue
-            while j < len(toks) and toks[j][0] in ("]", ")", "?", "!"):
+            while toks.has(j) and toks[j][0] in ("]", ")", "?", "!"):
                 j += 1
-            if j < len(toks) and toks[j][0] == ":" and j + 2 < len(toks) and toks[j + 1].lastgroup == "id" and toks[j + 2][0] == "=":
+            if toks.has(j) and toks[j][0] == ":" and toks.has(j + 2) and toks[j + 1].lastgroup == "id" and toks[j + 2][0] == "=":
                 j += 2  # a type
-            if j >= len(toks) or toks[j][0] not in ("=", ":=", ":", "=>") and not (key and toks[j][0] == ","):
+            if not toks.has(j) or toks[j][0] not in ("=", ":=", ":", "=>") and not (key and toks[j][0] == ","):
                 continue
             if names_secret(name):
                 yield from self._value(text, toks, j + 1)
-            elif j + 1 < len(toks) and toks[j + 1].lastgroup == "str":
+            elif toks.has(j + 1) and toks[j + 1].lastgroup == "str":
                 x, y = _inside(toks[j + 1])
                 if (at := pair_at(text[x:y])) >= 0:
                     yield x + at, y
 
-    def _value(self, text: str, toks: list[re.Match], j: int) -> Iterator[tuple[int, int]]:
+    def _value(self, text: str, toks: Tokens, j: int) -> Iterator[tuple[int, int]]:
         """The literal that begins at token j, joined from parts or made of bytes."""
-        stop = min(len(toks), j + 12)
-        while j < stop and (toks[j].lastgroup == "id" or toks[j][0] in ("(", "[", "]", "{", "<", ">")):
+        stop, held = j + 12, False
+        while j < stop and toks.has(j) and (toks[j].lastgroup == "id" or toks[j][0] in ("(", "[", "]", "{", "<", ">")):
+            held = held or toks[j][0] in ("(", "[", "{")
             j += 1  # constructors and casts
-        if j < len(toks) and toks[j].lastgroup == "str" and text[slice(*_inside(toks[j]))] in ("C*", "c*", "H*") and j + 1 < len(toks):
+        if toks.has(j) and toks[j].lastgroup == "str" and text[slice(*_inside(toks[j]))] in ("C*", "c*", "H*") and toks.has(j + 1):
             j += 2
-        if j < len(toks) and toks[j].lastgroup == "str":
+        if toks.has(j) and toks[j].lastgroup == "str":
             parts = []
-            while j < len(toks) and toks[j].lastgroup == "str":
+            while toks.has(j) and toks[j].lastgroup == "str":
                 parts.append(_inside(toks[j]))
                 j += 1
-                if j + 1 < len(toks) and toks[j][0] in ("+", ".", "..", "&", "\\") and toks[j + 1].lastgroup == "str":
+                if toks.has(j + 1) and toks[j][0] in ("+", ".", "..", "&", "\\") and toks[j + 1].lastgroup == "str":
                     j += 1
-                elif not (j < len(toks) and toks[j].lastgroup == "str"):
+                elif not (toks.has(j) and toks[j].lastgroup == "str" and (held or self._goes_on(text, toks, j))):
                     break
             whole = "".join(text[x:y] for x, y in parts)
             if "-----BEGIN" not in whole and usable(re.sub(r"(?i)^(?:bearer|basic|token) +(?=\S{12})", "", whole)):
                 for x, y in parts:
                     m = re.match(r"(?i)(?:bearer|basic|token) +", text[x:y])
                     yield x + (m.end() if m else 0), y
-        elif j < len(toks) and toks[j].lastgroup == "num":
+        elif toks.has(j) and toks[j].lastgroup == "num":
             nums = []
-            while j < len(toks) and toks[j].lastgroup == "num":
+            while toks.has(j) and toks[j].lastgroup == "num":
                 nums.append(toks[j])
-                j += 2 if j + 1 < len(toks) and toks[j + 1][0] == "," else 1
+                comma = toks.has(j + 1) and toks[j + 1][0] == ","
+                j += 2 if comma else 1
+                if not comma and not held and toks.has(j) and "\n" in text[nums[-1].end() : toks[j].start()]:
+                    break
             values = [int(n[0], 0) if n[0][:1] != "0" or n[0][1:2] in "xX" else int(n[0]) for n in nums]
             if len(nums) >= 8 and max(values) < 256 and len(set(values)) > 2:
                 for n in nums:
                     yield n.start() + (2 if n[0][:2] in ("0x", "0X") else 0), n.end()
 
-    def _arguments(self, text: str, toks: list[re.Match], j: int) -> list[list[tuple[int, int]]]:
+    def _goes_on(self, text: str, toks: Tokens, j: int) -> bool:
+        """Whether literal j belongs to the one before it: on the same line, or if both are of a statement that ends so."""
+        if "\n" not in text[toks[j - 1].end() : toks[j].start()]:
+            return True
+        quote = toks[j - 1][0][-1]
+        while toks.has(j) and toks[j].lastgroup == "str" and toks[j][0][-1] == quote:
+            j += 1
+        return toks.has(j) and toks[j][0] == ";"
+
+    def _arguments(self, text: str, toks: Tokens, j: int) -> list[list[tuple[int, int]]]:
         """The literal arguments of the call whose bracket is token j."""
-        out, arg, depth = [], [], 0
-        for t in toks[j : j + 40]:
-            if t[0] == "(":
-                depth += 1
-            elif t[0] == ")":
-                depth -= 1
-                if not depth:
-                    break
-            elif t[0] == "," and depth == 1:
+        out, arg, open_ = [], [], []
+        while toks.has(j):
+            t = toks[j]
+            if t[0] in ("(", "[", "{"):
+                open_.append(t[0])
+            elif t[0] in (")", "]", "}"):
+                if open_.pop() + t[0] not in ("()", "[]", "{}") or not open_:
+                    break  # of the call, or of what stands around one that isn't closed
+            elif t[0] == ";" and "{" not in open_:
+                break
+            elif t[0] == "," and open_.count("(") == 1:
                 out.append(arg)
                 arg = []
-            elif t.lastgroup == "str" and depth == 1:
+            elif t.lastgroup == "str" and open_.count("(") == 1:
                 arg.append(_inside(t))
+            j += 1
         out.append(arg)
         return [x for x in out if x]
 

@@ -67,3 +67,40 @@ def test_every_name_in_every_notation_is_anchored():
             forms = {f"{x}{sep}{y}" for sep in ("", "_", "-", " ")} | {x + y.capitalize(), x.capitalize() + y.capitalize(), f"db_{name}", f"db{name.capitalize()}", f"db-{name}", f"{name}_prod", name.upper(), f"DB_{x}_{y}".upper(), f"{name.upper()}Value"}
             left += [n for n in forms for t in (f'{n} = "v"', f'c.{n}="v"', f'{{"{n}": "v"}}') if names_secret(n) and not any(t.lower().find(n.lower()) <= p < t.lower().find(n.lower()) + len(n) for p in find.anchors(t))]
     assert not left
+
+
+BITS = "Ab3dE7gH9kLm2Np4"
+LONG = "eyJ" + BITS * 30 + ".eyJ" + BITS * 30 + "." + BITS * 30
+
+
+@pytest.mark.parametrize("around", ['{"a": "x", "b": %s, "c": "d"}', "var a=1;" * 200 + "cfg={b:%s};" + "y=2;" * 400, "%s"])
+@pytest.mark.parametrize("name", ["access_token: ", '"idToken": ', "x="])
+def test_long_literals_on_long_lines_are_found_whole(around, name):
+    text = around % (name + '"' + LONG + '"')
+    assert redact(text, FIND(text)) == text.replace(LONG, "*" * len(LONG))
+    if name != "x=":
+        text = text.replace(LONG, BITS * 120)
+        assert redact(text, FIND(text)) == text.replace(BITS * 120, "*" * len(BITS * 120))
+
+
+def test_statements_over_many_lines_are_found_whole():
+    bytes_ = "aes_key = {\n" + "\n".join("  " + ", ".join(f"0x{(37 * i + k) % 256:02x}" for k in range(8)) + "," for i in range(12)) + "\n}; a = 1"
+    assert [bytes_[a:b] for a, b in FIND(bytes_)] == [f"{(37 * i + k) % 256:02x}" for i in range(12) for k in range(8)]
+    parts = "client_secret = (\n" + " +\n".join(f'  "part{i}Xy7"' for i in range(12)) + ")\nname = 'part1Xy8'"
+    assert [parts[a:b] for a, b in FIND(parts)] == [f"part{i}Xy7" for i in range(12)]
+    for text in ("secret = (\n" + '  "Xy7"\n' * 9 + ")", "char *secret =\n" + '  "Xy7"\n' * 9 + ";"):
+        assert [text[a:b] for a, b in FIND(text)] == ["Xy7"] * 9
+    call = "setPassword(" + ", ".join(f"a{i}" for i in range(60)) + ',\n"legacyreTRy179!");'
+    assert [call[a:b] for a, b in FIND(call)] == ["legacyreTRy179!"]
+    line = "SERVICE_KEY=" + BITS * 110 + "\nx=1"
+    assert redact(line, FIND(line)) == "SERVICE_KEY=" + "*" * 1760 + "\nx=1"
+
+
+def test_quotes_open_on_a_line_do_not_hide_the_next():
+    text = "`;\npassword = \"nominalVau1!\"\n`a`; token = x"
+    assert [text[a:b] for a, b in FIND(text)] == ["nominalVau1!"]
+
+
+def test_time_grows_with_the_line_only():
+    text = ("curl http://a.test/x?session=1 " * 6_000) + "sk-" + "f" * 200_000
+    assert FIND(text) == [] or len(FIND(text)) == 1
