@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.runtime import cut_lineage
@@ -182,65 +183,112 @@ def words(text: str | None) -> list[str]:
     return sorted({w for w in _WORD.findall(text) if len(w) <= LONGEST_WORD})
 
 
-def readings(word: str) -> list[str]:
-    """What a word may have been, if one single-byte encoding was taken for another."""
-    out = []
-    for read in SINGLE_BYTE:
-        table = to_bytes(read)
-        if not all(ord(c) < 128 or ord(c) in table for c in word):
-            continue
-        raw = bytes([o if o < 128 else table[o] for o in map(ord, word)])
-        for wrote in AUTHORS:
-            if wrote != read:
-                try:
-                    new = raw.decode(wrote)
-                except UnicodeDecodeError:
-                    continue
-                if new != word and new not in out and all(c < "\x80" or ordinary(c) for c in new):
-                    out.append(new)
+PAIRS = [(read, wrote) for read in SINGLE_BYTE for wrote in AUTHORS if wrote != read]
+
+
+def reading(word: str, read: str, wrote: str) -> str | None:
+    """What a word was, if `wrote` was taken for `read`; None if that can't be or changes nothing."""
+    table = to_bytes(read)
+    if not all(ord(c) < 128 or ord(c) in table for c in word):
+        return None
+    try:
+        new = bytes([o if o < 128 else table[o] for o in map(ord, word)]).decode(wrote)
+    except UnicodeDecodeError:
+        return None
+    return new if new != word and all(c < "\x80" or ordinary(c) for c in new) else None
+
+
+def readings(word: str) -> dict[str, list[int]]:
+    """What a word may have been, if one single-byte encoding was taken for another, and the pairs of encodings that say so."""
+    out: dict[str, list[int]] = {}
+    for k, pair in enumerate(PAIRS):
+        if (new := reading(word, *pair)) is not None:
+            out.setdefault(new, []).append(k)
     return out
 
 
 def inspect(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key`, `n_spans`, `lost`, `words` of every row: spans decoded again,
-    whether characters are lost for good, and the words left outside ASCII."""
+    """`key`, `copy`, `n_spans`, `lost`, `words` of every row: a hash that copies
+    share, spans decoded again, whether characters are lost for good, and the
+    words left outside ASCII."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, lost, left = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 new, spans_, gone = repair(t)
                 n.append(spans_)
                 lost.append(gone)
                 left.append(words(new))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(lost, pa.bool_()), pa.array(left, pa.list_(pa.string()))], names=[key, "n_spans", "lost", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(lost, pa.bool_()), pa.array(left, pa.list_(pa.string()))], names=[key, "copy", "n_spans", "lost", "words"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_spans int, lost boolean, words array<string>")
+    return df.select(key, F.xxhash64(text).alias("copy"), text).mapInArrow(run, f"`{key}` {kind}, copy long, n_spans int, lost boolean, words array<string>")
 
 
 SHARE = 4  # a word is taken for another one that stands in so many times as many documents
 LONE_SHARE = 50  # the same for a single letter that stands for a dash
 
 
-def swapped_words(inspected: DataFrame, key: str) -> DataFrame:
-    """`word`, `meant`: words that stand for one that is far commoner in the
-    whole collection and differs by nothing but the encoding it was read in.
-    A lone letter counts only if a dash is meant."""
-    uses = inspected.select(key, F.explode("words").alias("word"))
-    counts = uses.groupBy("word").agg(F.count("*").alias("n"))
+def swapped_words(inspected: DataFrame) -> DataFrame:
+    """`word`, `meant`, `pairs`: words that stand for one that is far commoner in
+    the whole collection and differs by nothing but the encoding it was read in.
+
+    Commoner by distinct texts: however often a garbled text is copied, it counts
+    once. Where these don't say the contrary, by rows too, but of the texts
+    without a word found so. A lone letter counts only if a dash is meant.
+    """
+    per_text = cut_lineage(inspected.where(F.size("words") > 0).groupBy("copy").agg(F.first("words").alias("words"), F.count("*").alias("rows")))
+    counts = per_text.select("rows", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
+        for b in batches:
+            rows = [(w, n, k, r, p) for w, n, k in zip(*(c.to_pylist() for c in b.columns)) for r, p in readings(w).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["word", "n", "rows", "meant", "pairs"])
+
+    may_be = counts.mapInArrow(run, "word string, n long, rows long, meant string, pairs array<int>")
+    def commoner(meant: str, n: str):
+        lone = F.col("word").rlike(r"\p{L}") & F.col("meant").isin("\u2013", "\u2014") & (F.col(meant) >= LONE_SHARE * F.col(n))
+        return (F.col(meant) >= 2) & (F.col(meant) >= SHARE * F.col(n)) & ((F.length("word") > 1) | lone)
+
+    may_be = cut_lineage(may_be.join(counts.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant"))
+    by_texts = may_be.where(commoner("n_meant", "n")).withColumn("rows_meant", F.lit(0).cast("long"))
+    uses = per_text.select("copy", "rows", F.explode("words").alias("word"))
+    found = uses.join(by_texts.select("word").distinct(), "word", "left_semi").select("copy").distinct()
+    clean = uses.join(found, "copy", "left_anti").groupBy(F.col("word").alias("meant")).agg(F.sum("rows").alias("rows_meant"))
+    by_rows = may_be.join(clean, "meant").where(commoner("rows_meant", "rows") & (F.col("n_meant") >= F.col("n")))
+    hit = by_texts.unionByName(by_rows)
+    best = hit.groupBy("word").agg(F.max(F.struct("n_meant", "rows_meant", "meant", "pairs")).alias("b"))
+    return best.select("word", F.col("b.meant").alias("meant"), F.col("b.pairs").alias("pairs"))
+
+
+def swaps_of_texts(inspected: DataFrame) -> DataFrame:
+    """`copy`, `word`, `meant` of the words that are swapped in a text.
+
+    A text with a word of swapped_words() was read in the pair of encodings that
+    explains most such words in it, and so were its other words, however rare:
+    all of them, or, if some are commoner as they are in the texts without such
+    words (it is garbled in part only), those that are commoner as the pair has
+    them.
+    """
+    texts = cut_lineage(inspected.where(F.size("words") > 0).groupBy("copy").agg(F.first("words").alias("words")))
+    uses = texts.select("copy", F.explode("words").alias("word"))
+    certain = cut_lineage(uses.join(swapped_words(inspected), "word").select("copy", "word", "meant", "pairs"))
+    votes = certain.select("copy", F.explode("pairs").alias("pair")).groupBy("copy", "pair").agg(F.count("*").alias("n"))
+    pair = votes.groupBy("copy").agg(F.max_by("pair", F.struct("n", -F.col("pair"))).alias("pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, n, r) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in readings(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["word", "n", "meant"])
+            rows = [(c, w, r) for c, k, ws in zip(*(c.to_pylist() for c in b.columns)) for w in ws if (r := reading(w, *PAIRS[k])) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["copy", "word", "meant"])
 
-    may_be = counts.mapInArrow(run, "word string, n long, meant string")
-    known = counts.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
-    hit = may_be.join(known, "meant").where((F.col("n_meant") >= 2) & (F.col("n_meant") >= SHARE * F.col("n")))
-    hit = hit.where((F.length("word") > 1) | (F.col("word").rlike(r"\p{L}") & F.col("meant").isin("\u2013", "\u2014") & (F.col("n_meant") >= LONE_SHARE * F.col("n"))))
-    best = hit.groupBy("word").agg(F.max(F.struct("n_meant", "meant")).alias("b"))
-    return best.select("word", F.col("b.meant").alias("meant"))
+    rest = texts.join(pair, "copy").select("copy", "pair", "words").mapInArrow(run, "copy long, word string, meant string").join(certain.select("copy", "word"), ["copy", "word"], "left_anti")
+    clean = uses.join(pair, "copy", "left_anti").groupBy("word").agg(F.count("*").alias("n"))
+    rest = rest.join(clean.withColumnRenamed("n", "n_word"), "word", "left").join(clean.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant", "left").fillna(0, ["n_word", "n_meant"])
+    whole = F.min(F.col("n_word") <= F.col("n_meant")).over(W.partitionBy("copy"))
+    rest = rest.withColumn("whole", whole).where(F.col("whole") | (F.col("n_meant") > F.col("n_word")))
+    return certain.select("copy", "word", "meant").unionByName(rest.select("copy", "word", "meant"))
 
 
 def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -249,12 +297,11 @@ def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Null, empty and ASCII texts are never garbled. A key that repeats comes
     out once, with the greatest figures of its rows. The counts of words cover
-    all rows.
+    all distinct texts.
     """
     seen = cut_lineage(inspect(df, key, text))
-    swaps = swapped_words(seen, key)
-    uses = seen.select(key, F.explode("words").alias("word"))
-    per_row = uses.join(swaps, "word").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("word", "meant"))).alias("swapped"))
+    swaps = swaps_of_texts(seen)
+    per_row = seen.select(key, "copy").distinct().join(swaps, "copy").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("word", "meant"))).alias("swapped"))
     direct = seen.where((F.col("n_spans") > 0) | F.col("lost")).groupBy(key).agg(F.max("n_spans").alias("n_spans"), F.max("lost").alias("lost"))
     both = direct.join(per_row, key, "full_outer")
     return both.select(key, F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("lost", F.lit(False)).alias("lost"), "swapped")

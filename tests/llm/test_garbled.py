@@ -48,3 +48,14 @@ def test_table(spark):
 def test_long_text():
     t = ("für die Größe " * 20_000).encode().decode("cp1252")
     assert G.repair(t)[0] == "für die Größe " * 20_000
+
+
+def test_copies_of_a_garbled_text_count_once_and_its_rare_words_follow(spark):
+    swap = lambda t: t.encode("cp1251").decode("koi8_r")
+    right = [(i, f"Проверка номер {i}: если сверка пуста, отчёт уходит в архив") for i in range(8)]
+    once = [(20, "Водомерный журнал закрыт")]
+    bad = "Если проверка пуста, водомерный журнал и бухгалтерская сверка уходит в архив"
+    partly = "Проверка и сверка пуста; тождественность " + swap("если отчёт уходит")
+    df = spark.createDataFrame(right + once + [(100 + i, swap(bad)) for i in range(40)] + [(200, partly)], "doc_id long, text string")
+    fixed = {r.doc_id: r.fixed for r in G.restore(df, "doc_id", "text").collect()}
+    assert fixed == {100 + i: bad for i in range(40)} | {200: "Проверка и сверка пуста; тождественность если отчёт уходит"}
