@@ -26,6 +26,12 @@ def index_stats(spark: SparkSession, base: str) -> DataFrame:
     return postings.groupBy("token").agg(F.count_distinct("doc_id").alias("n_pages"), F.sum("tf").alias("n_uses"))
 
 
+def index_stats_whole(spark: SparkSession, base: str) -> DataFrame:
+    """The statistics of all columns of the index; index_stats and its SQL leave the body out."""
+    postings, _ = T.build_index(_pages(spark, base), "doc_id", ["title", "body", "facts"])
+    return postings.groupBy("token").agg(F.count_distinct("doc_id").alias("n_pages"), F.sum("tf").alias("n_uses"))
+
+
 def pages_like(spark: SparkSession, base: str) -> DataFrame:
     return T.contains_any(_pages(spark, base), ["title", "body"], "rolled back").select("doc_id")
 
@@ -139,7 +145,7 @@ bm AS (SELECT doc_id, round(sum(greatest(ln((n_pages - df + 0.5) / (df + 0.5)),
 
 _N = f"WITH {R.NODES}"
 _NOT = "'" + "', '".join(T.NO_DOMAIN) + "'"
-QUERIES = {f.__name__: f for f in (bm25_pages, index_stats, pages_like, name_tiers, rrf_hybrid, plain_snippets, chunk_hashes, markdown_sections, token_estimates, intent_clusters, domain_inference, name_stems, similar_stems, injection_flags, grounding_check, routes_normal, page_ids, mask_counts, knn_l2, dual_search, embed_delta)}
+QUERIES = {f.__name__: f for f in (bm25_pages, index_stats, index_stats_whole, pages_like, name_tiers, rrf_hybrid, plain_snippets, chunk_hashes, markdown_sections, token_estimates, intent_clusters, domain_inference, name_stems, similar_stems, injection_flags, grounding_check, routes_normal, page_ids, mask_counts, knn_l2, dual_search, embed_delta)}
 ORACLE = {
     "bm25_pages": _bm(["ledger", "mapp"]) + " SELECT doc_id, score FROM bm",
     "index_stats": f"WITH w AS (SELECT doc_id, lower(unnest({_TOK.format('title')})) AS token FROM documents UNION ALL SELECT doc_id, lower(unnest({_TOK.format('source')})) FROM documents) SELECT token, count(DISTINCT doc_id) AS n_pages, count(*) AS n_uses FROM w GROUP BY 1",
