@@ -54,9 +54,53 @@ _CODE = re.compile(r"[A-Za-z_]\w*\s*\(|\b(?:return|class|def|function|public|pri
 _JSON_LIKE = re.compile(r"\A\s*(?:export default|module\.exports\s*=|(?:export\s+)?(?:const|var|let|static)?\s*[\w.$]+\s*:?=)?\s*[\[{(].*[\]})]\s*;?\s*\Z", re.S)
 
 
+# A comment line; of a very long line only a comment that is marked as one to its end.
+_PIECE = r"(?:/\*[^\n]*?(?:\*/|(?=\n|\Z))|<!--[^\n]*?(?:-->|(?=\n|\Z))|//[^\n]*|(?:#|\*|--|;|%|\(\*)[^\n]{0,398}(?=\n|\Z))"
+COMMENT, COMMENTS = re.compile(r"[ \t]*" + _PIECE), re.compile(r"\n([ \t]*" + _PIECE + ")")
+# What may stand among the comments that a file begins with.
+_PROLOGUE = re.compile(r"\s*(?:$|<\?|<!doctype|package\b|['\"]use strict|@charset)", re.I)
+# Giveaways that speak of a whole file wherever they stand; others do so in its opening only.
+OF_FILES = re.compile(
+    _MARK + r"(?:code generated (?:by|from) .*do not|@generated\b|<auto-?generated|auto-?generated (?:file|by|from)\b|this file (?:is|was|has been) (?:auto|automatically|machine|generated|produced)"
+    r"|diese datei wurde (?:automatisch|generiert|erzeugt)|このファイルは.*生成)", re.I | re.M)
+
+
 def opening(text: str) -> str:
-    """The comments among the first lines."""
-    return "\n".join(x for x in re.split(r"\r\n|[\r\n]", text[:4000])[:HEADER_LINES] if _COMMENT.match(x) and len(x) < 400)
+    """The comments among the first lines, and all of the block of comments or
+    the docstring that a text begins with, however long."""
+    out, until, leading = [], "", True
+    for k, m in enumerate(re.finditer(r"([^\r\n]*)(?:\r\n|[\r\n]|\Z)", text)):
+        x = m[1]
+        if k >= HEADER_LINES and not leading:
+            break
+        if until:
+            out.append(x[: x.find(until)] if until in x else x)
+            until = "" if until in x else until
+        elif (c := COMMENT.match(x)) and (len(x) < 400 or c[0].lstrip().startswith(("/*", "<!--", "//"))):
+            out.append(x if len(x) < 400 else c[0])
+            mark, end = next((p for p in (("/*", "*/"), ("<!--", "-->"), ("(*", "*)")) if x.lstrip().startswith(p[0])), ("", ""))
+            until = end if end and leading and end not in x.lstrip()[len(mark) :] else ""
+            leading = leading and len(x) < 400
+        elif leading and (d := re.match(r"\s*[rRuU]?(\"\"\"|''')", x)):
+            rest = x[d.end() :]
+            out.append(rest.split(d[1])[0])
+            until = "" if d[1] in rest else d[1]
+        else:
+            leading = leading and bool(_PROLOGUE.match(x))
+        if m.end() == len(text):
+            break
+    return "\n".join(out)
+
+
+def comments(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and text of the comment lines."""
+    for m in COMMENTS.finditer("\n" + text.replace("\r", "\n")):
+        yield m.start(1) - 1, m.end(1) - 1, m[1]
+
+
+def giveaways(text: str) -> list[tuple[int, int]]:
+    """Where the comment lines of a text stand that say what it is."""
+    return [(a, b) for a, b, x in comments(text) if GENERATED_HEADER.match(x) or VENDORED_HEADER.match(x)]
 
 
 def mask(header: str) -> str:
@@ -94,7 +138,7 @@ _CONFIG = re.compile(r"\.(?:json|ya?ml|xml|config|env|properties|toml|ini|cfg|co
 def label(path: str | None, text: str | None, body: bool = True) -> set[str]:
     """The kinds whose signs a record bears; without `body` the text's shape isn't looked at."""
     out, head = signs_beside_header(path, text, body), opening(text or "")
-    if GENERATED_HEADER.search(head):
+    if GENERATED_HEADER.search(head) or any(OF_FILES.match(x) for _, _, x in comments(text or "")):
         out.add("generated")
     if VENDORED_HEADER.search(head):
         out.add("vendored")
@@ -165,13 +209,15 @@ def parts_of(text: str | None) -> tuple[str, str]:
     """The masked opening, and the rest without giveaway headers."""
     text = text or ""
     head = opening(text)
-    if not head:
-        return "", text
-    giveaway = "\n".join(x for x in head.split("\n") if GENERATED_HEADER.search(x) or VENDORED_HEADER.search(x))
-    rest = text
-    for x in giveaway.split("\n") if giveaway else ():
-        rest = rest.replace(x, "", 1)
-    return " ".join("^" + mask(x) for x in head.split("\n")), rest
+    rest, at = [], 0
+    for a, b in giveaways(text):
+        rest.append(text[at:a])
+        at = b
+    rest = "".join(rest) + text[at:]
+    for x in head.split("\n"):  # those of a block or docstring whose lines bear no mark
+        if x and (GENERATED_HEADER.search(x) or VENDORED_HEADER.search(x)):
+            rest = rest.replace(x, "", 1)
+    return (" ".join("^" + mask(x) for x in head.split("\n")) if head else ""), rest
 
 
 @dataclass

@@ -57,3 +57,23 @@ def test_table(spark):
     want = {(r[1], r[2]) for r in rows if r[5]}
     assert len(got ^ want) <= 0.03 * len(want)
     assert H.not_handwritten(df.limit(0)).count() == 0
+
+
+LICENCE = "/*\n" + "\n".join(f" * Licence clause {i} of many, without warranty" for i in range(30)) + "\n */\n"
+NOTE = "Code generated by foogen v1.2. DO NOT EDIT."
+
+
+def test_notices_below_the_first_lines():
+    js = "function a(x) {\n  return x\n}\n"
+    long_ = "/*! " + "no warranty " * 600 + "*/\n"
+    for text in (LICENCE + f"// {NOTE}\n" + js, long_ + f"// {NOTE}\n" + js, "#!/bin/sh\n" + "# about\n" * 9 + f"# {NOTE}\necho", '"""About\n' + "words\n" * 9 + f'{NOTE}\n"""\nx = 1', "<!--\nwords\n\nwords\n\nwords\nwords\n" + f"{NOTE}\n-->\n<a/>", js * 5 + f"// {NOTE}\n" + js):
+        assert H.label("src/a.x", text) == {"generated"}, text[-200:]
+        head, rest = H.parts_of(text)
+        assert "generated by" not in rest.lower()
+    assert H.label("src/a.x", LICENCE + "// Copied unchanged from libfoo\n" + js) == H.label("src/a.x", "// Copied unchanged from libfoo\n" + js) == {"vendored"}
+
+
+def test_remarks_below_the_opening_are_masked_but_label_nothing():
+    text = "import a\n" + "x = 1\n" * 9 + "# do not edit the next line\ny = 2\n# copied from the wiki\nz = 3\n"
+    assert H.label("src/a.py", text) == set()
+    assert "do not edit" not in H.parts_of(text)[1] and "z = 3" in H.parts_of(text)[1]
