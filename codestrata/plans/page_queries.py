@@ -57,6 +57,13 @@ def parsed_symbols(spark: SparkSession, base: str) -> DataFrame:
     return parsers.parse_files(n.select("id", "file_path", F.lower("language").alias("language"), "source_code").distinct(), text="source_code").groupBy("node_type").agg(F.count("*").alias("n"))
 
 
+def parsed_calls(spark: SparkSession, base: str) -> DataFrame:
+    """How many functions of the stored texts call a name, by that name."""
+    n = table(spark, base, "code_nodes").join(R.current(spark, base), "scan_id", "left_semi")
+    p = parsers.parse_files(n.select("id", "file_path", F.lower("language").alias("language"), "source_code").distinct(), text="source_code")
+    return p.select(F.explode(F.from_json(F.get_json_object("detail", "$.calls"), "array<string>")).alias("callee")).groupBy("callee").agg(F.count("*").alias("n"))
+
+
 def _streamed(spark, base, build, name) -> DataFrame:
     """Run a stream over the events that are there; its result is read back from the shared folder."""
     at = f"{checkpoint_dir(spark).removeprefix('file://')}/{name}-{uuid.uuid4().hex}"
@@ -88,7 +95,7 @@ def window_sessions(spark: SparkSession, base: str) -> DataFrame:
 
 
 _W = f"WITH {R.NODES}, {R.EDGES}, {R.UNRESOLVED}"
-QUERIES = {f"pages_{n}": _pages(n) for n in P.BUILDERS} | {f.__name__: f for f in (page_facts, flow_facts, export_paths, first_writers, parsed_symbols, stream_dedupe, window_tumbling, window_sliding, window_sessions)}
+QUERIES = {f"pages_{n}": _pages(n) for n in P.BUILDERS} | {f.__name__: f for f in (page_facts, flow_facts, export_paths, first_writers, parsed_symbols, parsed_calls, stream_dedupe, window_tumbling, window_sliding, window_sessions)}
 ORACLE = {
     "pages_overview": _W + " SELECT DISTINCT 'overview:' || scan_id AS page_id, 'overview' AS type, CAST(scan_id AS VARCHAR) AS title FROM n",
     "pages_modules": _W + ", f AS (SELECT DISTINCT scan_id, string_split(file_path, '/') AS p FROM n WHERE contains(file_path, '/')), d AS (SELECT DISTINCT scan_id, array_to_string(p[1:k], '/') AS dir FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f)) SELECT 'module:' || scan_id || '/' || dir AS page_id, 'module' AS type, dir AS title FROM d",

@@ -94,15 +94,15 @@ def braces(path: str, text: str, types: str, methods: str, endpoint: str) -> lis
     def end(at: int) -> int:
         depth, i = 0, bare.find("{", at)
         if i < 0:
-            return line_at(text, at)
+            return at
         for m in re.compile(r"[{}]").finditer(bare, i):
             depth += 1 if m[0] == "{" else -1
             if not depth:
-                return line_at(text, m.start())
-        return line_at(text, len(text))
+                return m.start()
+        return len(text)
 
     base, out = module_of(path), []
-    owners = [(m.start(), end(m.start()), m["name"]) for m in re.finditer(types, bare)]
+    owners = [(m.start(), line_at(text, end(m.start())), m["name"]) for m in re.finditer(types, bare)]
     for at, stop, name in owners:
         out.append((f"{base}.{name}", name, "class", line_at(text, at), stop, json.dumps({"bases": re.findall(r"[\w.]+", (re.match(r"[^{\n]*?(?:extends|implements|:)\s*([^{\n]*)", bare[at : at + 300]) or ["", ""])[1])})))
     for m in re.finditer(methods, bare, re.M):
@@ -114,10 +114,11 @@ def braces(path: str, text: str, types: str, methods: str, endpoint: str) -> lis
         before = text[max(0, m.start() - 200) : m.start()]
         kind = "endpoint" if re.search(endpoint, before.rsplit("}", 1)[-1]) else "method" if inside else "function"
         stop = end(m.start())
-        body = bare[m.end() : m.end() + 20_000]
-        found = sorted(set(re.findall(r"([A-Za-z_$][\w$.]*)\s*\(", body.split("\n}", 1)[0])))[:200]
+        first = bare.find("{", m.start())
+        declared = ";" in re.sub(r"\[[^\]]*\]", "", bare[m.end() : first]) if first > m.end() else first < 0  # without a body
+        found = [] if declared else sorted(set(re.findall(r"([A-Za-z_$][\w$.]*)\s*\(", bare[first:stop])))
         q = ".".join([base, *([inside[-1][2]] if inside else []), name])
-        out.append((q, name, kind, line, stop, json.dumps({"calls": found})))
+        out.append((q, name, kind, line, line_at(text, stop), json.dumps({"calls": found})))
     return out
 
 
