@@ -372,6 +372,9 @@ def sample(nodes: DataFrame, repository: str, looked_at: int = LOOKED_AT, size:
     return marked.orderBy("h").limit(size).unionByName(plain.orderBy("h").limit(size))
 
 
+UNTRAINED = -0.25  # the margin of a kind without a labelled case: its signs decide
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # one row per kind
@@ -385,7 +388,7 @@ def fit(paths: list, languages: list, texts: list, kinds: list, repositories: li
     projects is kept apart for the report; the classifiers handed out are
     trained on all."""
     n = len(paths)
-    weights, biases = np.zeros((len(KINDS), 1 << BITS), np.float32), np.full(len(KINDS), -1.0)
+    weights, biases = np.zeros((len(KINDS), 1 << BITS), np.float32), np.full(len(KINDS), UNTRAINED)
     report: dict[str, dict[str, float]] = {}
     if not n:
         return Model(weights, biases, report)
@@ -449,13 +452,21 @@ def margins(nodes: DataFrame, keys: list[str], model: Model) -> DataFrame:
     return picked.mapInArrow(run, f"{kinds}, margins array<double>")
 
 
+def report(nodes: DataFrame, scans: DataFrame) -> DataFrame:
+    """`kind`, `precision`, `recall`, `cases` against the labels, on projects kept
+    apart: all scans of a project are on one side."""
+    project = scans.select(F.col("id").alias("scan_id"), "project_slug").groupBy("scan_id").agg(F.min("project_slug").alias("project_slug"))
+    told = trained(nodes.join(project, "scan_id", "left"), "project_slug", True).report
+    return nodes.sparkSession.createDataFrame([(k, r["precision"], r["recall"], r["cases"]) for k, r in told.items()], "kind string, precision double, recall double, cases long")
+
+
 def not_handwritten(nodes: DataFrame, model: Model | None = None) -> DataFrame:
     """`scan_id`, `file_path`, `kinds` of the files of which some record is
     classified as generated, vendored, minified or data.
 
     Records without text are judged by their path. Null paths and languages
     are empty ones; repeated rows change nothing; an empty table gives no
-    files, and a kind without a labelled case is never given. Every record is
+    files, and of a kind without a labelled case only the signs tell. Every record is
     classified; only training uses a sample.
     """
     model = model or trained(nodes)

@@ -77,3 +77,17 @@ def test_remarks_below_the_opening_are_masked_but_label_nothing():
     text = "import a\n" + "x = 1\n" * 9 + "# do not edit the next line\ny = 2\n# copied from the wiki\nz = 3\n"
     assert H.label("src/a.py", text) == set()
     assert "do not edit" not in H.parts_of(text)[1] and "z = 3" in H.parts_of(text)[1]
+
+
+def test_signs_settle_a_kind_that_was_not_trained():
+    paths, texts = ["web/node_modules/x/a.js", "src/a.js"], ["x = 1", "x = 1"]
+    m = H.fit(["src/b.py"], ["python"], ["y = 2"], [[]], ["p"])
+    margin = H.settle(H.score(paths, [None, None], texts, np.ascontiguousarray(m.weights.T), m.biases), paths, texts)
+    assert (margin > 0).tolist() == [[False, True, False, False], [False] * 4]
+
+
+def test_report_keeps_projects_apart(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(H, "trained", lambda nodes, repository, validate: seen.append((repository, validate, {r.project_slug for r in nodes.collect()})) or H.Model(None, None, {"data": {"precision": 1.0, "recall": 0.5, "cases": 4}}))
+    nodes, scans = spark.createDataFrame([(1, "a"), (2, "a")], "scan_id long, file_path string"), spark.createDataFrame([(1, "p"), (2, "p"), (2, "p")], "id long, project_slug string")
+    assert [tuple(r) for r in H.report(nodes, scans).collect()] == [("data", 1.0, 0.5, 4)] and seen == [("project_slug", True, {"p"})]
