@@ -28,9 +28,11 @@ SECRET_ENDS = (
     "password", "passwd", "passwort", "kennwort", "passphrase", "passcode", "pwd", "secret", "token", "credential", "credentials", "cred", "creds",
     "apikey", "accesskey", "secretkey", "privatekey", "signingkey", "masterkey", "deploykey", "licensekey", "licencekey", "aeskey", "hmackey", "encryptionkey",
     "sharedkey", "storagekey", "accountkey", "servicekey", "sshkey", "authkey", "sessionkey", "cryptokey", "signingseed", "pincode", "accesskeyid", "authorization",
+    "cipherkey", "encryptkey", "decryptkey", "decryptionkey", "symmetrickey", "cryptkey", "fernetkey", "jwtkey", "tokenkey", "cookiekey", "mackey", "rootkey", "vaultkey", "wrapkey", "wrappingkey",
+    "signkey", "seckey", "deskey", "rsakey", "pskkey", "presharedkey", "webhookkey", "adminkey", "serverkey", "clientkey", "subscriptionkey", "integrationkey", "gatewaykey", "merchantkey",
     "contrasena", "contraseña", "clave", "senha", "motdepasse", "mdp", "haslo", "hasło", "wachtwoord", "parola", "пароль", "пароля", "密码", "密碼", "パスワード", "비밀번호",
 )
-SHORT_NAMES = {"pass", "pw", "auth", "pin", "jwt", "bearer"}  # as the last word of a name
+SHORT_NAMES = {"pass", "pw", "auth", "pin", "jwt", "bearer", "psk"}  # as the last word of a name
 PASS_WORDS = {"bypass", "compass", "trespass", "encompass", "surpass", "overpass", "underpass"}
 TRAILERS = {"b64", "base64", "hex", "raw", "value", "val", "plain", "encoded", "enc", "bytes", "str", "text", "string", "1", "2", "old", "new", "prod", "live", "dev", "default"}
 # What makes of it the name of something about a secret.
@@ -77,6 +79,7 @@ TOKEN = re.compile(
     re.S,
 )
 RAW = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?([^\W\d][\w.$-]*)[ \t]*(?:=|:[ \t])[ \t]*([^\s\"'{\[(][^\r\n]*?)[ \t]*$")
+CALL = re.compile(r"[^\W\d][\w.]*\s*[(\[{]")  # no bare value, but code
 MARKUP = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]+)</\1>")
 XML_ADD = re.compile(r"(?:key|name|id)\s*=\s*\"([^\"]+)\"\s+value\s*=\s*\"([^\"]*)\"")
 _WORDS = re.compile(r"[A-ZÀ-Þ]+(?![a-zß-ÿ])|[A-ZÀ-Þ]?[^\W\d_A-ZÀ-Þ]+|\d+")
@@ -137,6 +140,8 @@ def usable(v: str) -> bool:
     """Whether a literal looks like a secret that works."""
     if placeholder(v):
         return False
+    if re.fullmatch(r"[^\W\d_]+[?!.\u2026]+", v):  # the last word of a sentence
+        v = v.rstrip("?!.\u2026")
     digit, low, up, sign = (re.search(p, v) is not None for p in (r"\d", r"[^\W\d_A-Z]", r"[A-Z]", r"[^\w.-]"))
     if re.fullmatch(r"[^\W\d]+(?:[._-][^\W\d]+)*", v):  # words or a name
         if all(p.islower() or p.isupper() or p.istitle() for p in re.split(r"[._-]", v)):
@@ -259,7 +264,7 @@ class Finder:
                 yield a + m.start(2), a + m.end(2)
         for m in PARAM.finditer(line):
             v = m[2].rstrip(",)")
-            if names_secret(m[1].replace(" ", "_")) and (usable(v) or (not placeholder(v) and v != v.lower() and not names_secret(v))):
+            if not CALL.match(v) and names_secret(m[1].replace(" ", "_")) and (usable(v) or (not placeholder(v) and v != v.lower() and not names_secret(v))):
                 yield a + m.start(2), a + m.end(2)
         for m in SCHEME.finditer(line):
             v = m[2]
@@ -276,7 +281,7 @@ class Finder:
         for p in PROSE:
             for m in p.finditer(first):
                 if usable(m["v"].rstrip(".,;:)")):
-                    yield a + m.start("v"), a + m.end("v")
+                    yield a + m.start("v"), a + m.start("v") + len(m["v"].rstrip(",;"))
         for command, option in COMMANDS:
             m = command.search(first)
             while m and (m := option.search(first, m.end())):
@@ -284,7 +289,7 @@ class Finder:
                     yield a + m.start("v"), a + m.end("v")
                 m = command.search(first, m.end())
         m = RAW.match(first.rstrip("\r"))
-        if m and far and not re.fullmatch(r"[\w+/=.~-]+", m[2]):
+        if m and (far and not re.fullmatch(r"[\w+/=.~-]+", m[2]) or CALL.match(m[2])):
             m = None  # code
         if m and names_secret(m[1]):
             v = re.sub(r"\s+#.*$", "", m[2]).rstrip(",;")

@@ -104,3 +104,19 @@ def test_quotes_open_on_a_line_do_not_hide_the_next():
 def test_time_grows_with_the_line_only():
     text = ("curl http://a.test/x?session=1 " * 6_000) + "sk-" + "f" * 200_000
     assert FIND(text) == [] or len(FIND(text)) == 1
+
+
+@pytest.mark.parametrize("text", ['cipherKey = "6d989f0a31cff25b35458059a88aa98f"', "app.cipherKey=6d989f0a31cff25b35458059a88aa98f", '<add key="cipherKey" value="6d989f0a31cff25b35458059a88aa98f" />'])
+def test_keys_of_ciphers(text):
+    assert [text[a:b] for a, b in FIND(text)] == ["6d989f0a31cff25b35458059a88aa98f"]
+
+
+@pytest.mark.parametrize("text", ["passwordLabel: Kennwort vergessen?", "app.tokenType=Kennwort vergessen?", "PASSWORDHINT=Passwort vergessen?!"])
+def test_questions_about_passwords_are_none(text):
+    assert FIND(text) == []
+
+
+def test_delimiters_of_bare_values_stay():
+    text = "app.conn=Server=a.test;User Id=svc;Password=carriage-vault-basket4;\n  masterKey = bytes([0x12, 0xe8, 0xba, 0x53, 0xcf, 0xc2, 0x2b, 0xe3])"
+    new = redact(text, FIND(text))
+    assert new == "app.conn=Server=a.test;User Id=svc;Password=" + "*" * 22 + ";\n  masterKey = bytes([" + ", ".join(["0x**"] * 8) + "])"
