@@ -62,8 +62,21 @@ def ordinary(c: str) -> bool:
     )
 
 
+def _one_of(codec: str, *ranges: tuple[int, int]) -> str:
+    """The characters whose bytes lie in these ranges, as a class of an expression."""
+    return "[" + "".join(re.escape(chr(c)) for c, b in to_bytes(codec).items() if any(x <= b <= y for x, y in ranges)) + "]"
+
+
+@lru_cache
+def _begins(codec: str) -> re.Pattern:
+    """How every well-formed span begins: a first byte, then a continuation."""
+    return re.compile(_one_of(codec, (0xC2, 0xF4)) + _one_of(codec, (0x80, 0xBF)))
+
+
 def spans(text: str, codec: str) -> Iterator[tuple[int, int, str]]:
     """start, end, and the UTF-8 reading of the maximal well-formed byte spans of `text` under `codec`."""
+    if not _begins(codec).search(text):
+        return
     table = to_bytes(codec)
     for run in _RUN.finditer(text):
         s = run[0]
@@ -114,6 +127,8 @@ def plausible(old: str, new: str, text: str, a: int, b: int, rank: int) -> bool:
 # Japanese in two other encodings, read as cp1252: kana, common ideographs and punctuation only.
 _SJIS = re.compile(rb"(?:[\x81-\x83\x88-\x97][\x40-\x7e\x80-\xfc])(?:[\x81-\x83\x88-\x97][\x40-\x7e\x80-\xfc]|[\xe0-\xea][\x9f-\xfc])+")
 _EUC = re.compile(rb"(?:[\xa1\xa4\xa5\xb0-\xcf][\xa1-\xfe]){2,}")
+_SJIS_BEGINS = re.compile(_one_of("cp1252", (0x81, 0x83), (0x88, 0x97)) + "(?:[@-~]|" + _one_of("cp1252", (0x80, 0xFC)) + ")" + _one_of("cp1252", (0x81, 0x83), (0x88, 0x97), (0xE0, 0xEA)))
+_EUC_BEGINS = re.compile(_one_of("cp1252", (0xA1, 0xCF)) + _one_of("cp1252", (0xA1, 0xFE)) + "{3}")
 # UTF-8 read as a two-byte encoding leaves runs of rare ideographs.
 _WIDE = re.compile(r"[\u2010-\u9fff\uff61-\uff9f]{2,}")
 
@@ -121,12 +136,13 @@ _WIDE = re.compile(r"[\u2010-\u9fff\uff61-\uff9f]{2,}")
 def repair_wide(text: str, codecs: tuple[str, ...] = ("euc_jp", "shift_jis")) -> tuple[str, int]:
     """Undo decodings in which one side has two bytes a character."""
     hits = []
-    if any("\u0080" <= c <= "\u00ff" or c in "ŒœŠšŽžŸƒ" for c in text):
+    forms = [f for f in (("euc_jp", _EUC, _EUC_BEGINS), ("shift_jis", _SJIS, _SJIS_BEGINS)) if f[0] in codecs and f[2].search(text)]
+    if forms:
         table = to_bytes("cp1252")
         raw = bytes([o if o < 128 else table.get(o, 0) for o in map(ord, text)])
         japanese = re.search("[\u3040-\u30ff]", text) is not None
-        for codec, form in (("euc_jp", _EUC), ("shift_jis", _SJIS)):
-            for m in form.finditer(raw) if codec in codecs else ():
+        for codec, form, _ in forms:
+            for m in form.finditer(raw):
                 old = text[m.start() : m.end()]
                 if codec == "euc_jp" and (raw[m.start() - 1 : m.start()] > b"\x7f" or raw[m.end() : m.end() + 1] > b"\x7f"):
                     continue  # part of a run that is something else
@@ -172,7 +188,7 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
 
 
 # A word with letters outside ASCII, as it stands between spaces, digits and ASCII signs.
-_WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f\s][^\x00-\x40\x5b-\x60\x7b-\x7f\s]*")
+_WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]*[^\x00-\x7f\s][^\x00-\x40\x5b-\x60\x7b-\x7f\s]*")
 LONGEST_WORD = 40  # writing without spaces is no list of words
 
 
