@@ -150,7 +150,7 @@ def repair_wide(text: str, codecs: tuple[str, ...] = ("euc_jp", "shift_jis")) ->
                     new = m[0].decode(codec)
                 except UnicodeDecodeError:
                     continue
-                odd = sum(not c.isalnum() or "\u0080" <= c <= "\u009f" for c in old if c > "\x7f")
+                odd = sum(not c.isalpha() or "\u0080" <= c <= "\u009f" for c in old if c > "\x7f")
                 wide = sum(c > "\u3000" for c in new)
                 if wide == len(new) and odd and not old.isascii() and (len(new) >= 3 or japanese or "\u0080" <= min(c for c in old if c > "\x7f") <= "\u009f"):
                     hits.append((m.start(), m.end(), new))
@@ -192,11 +192,21 @@ _WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]*[^\x00-\x7f\s][^\x00-\x40\x5b-\x60\x7
 LONGEST_WORD = 40  # writing without spaces is no list of words
 
 
+def _word(m: re.Match) -> str:
+    """A word as it is counted: of a sign before a number the sign and a 0."""
+    return m[0] + "0" if len(m[0]) == 1 and m.string[m.end() : m.end() + 1].isdigit() else m[0]
+
+
 def words(text: str | None) -> list[str]:
     """The distinct words of a text that aren't all ASCII."""
     if not text or text.isascii():
         return []
-    return sorted({w for w in _WORD.findall(text) if len(w) <= LONGEST_WORD})
+    return sorted({_word(m) for m in _WORD.finditer(text) if m.end() - m.start() <= LONGEST_WORD})
+
+
+def reworded(text: str, meant: dict[str, str]) -> str:
+    """A text with words replaced."""
+    return _WORD.sub(lambda m: meant[w][: len(meant[w]) - len(w) + len(m[0])] if (w := _word(m)) in meant else m[0], text)
 
 
 PAIRS = [(read, wrote) for read in SINGLE_BYTE for wrote in AUTHORS if wrote != read]
@@ -243,18 +253,23 @@ def inspect(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 SHARE = 4  # a word is taken for another one that stands in so many times as many documents
-LONE_SHARE = 50  # the same for a single letter that stands for a dash
+LONE_SHARE = 50  # the same for a single letter
+
+
+def texts_of(inspected: DataFrame) -> DataFrame:
+    """`copy`, `words`, `rows` of every distinct text that has such words."""
+    return cut_lineage(inspected.where(F.size("words") > 0).groupBy("copy").agg(F.first("words").alias("words"), F.count("*").alias("rows")))
 
 
-def swapped_words(inspected: DataFrame) -> DataFrame:
+def swapped_words(per_text: DataFrame) -> DataFrame:
     """`word`, `meant`, `pairs`: words that stand for one that is far commoner in
     the whole collection and differs by nothing but the encoding it was read in.
 
     Commoner by distinct texts: however often a garbled text is copied, it counts
     once. Where these don't say the contrary, by rows too, but of the texts
-    without a word found so. A lone letter counts only if a dash is meant.
+    without a word found so. A lone letter must be rarer by LONE_SHARE than what
+    is meant, a letter or a dash. A meaning in the word's own script goes first.
     """
-    per_text = cut_lineage(inspected.where(F.size("words") > 0).groupBy("copy").agg(F.first("words").alias("words"), F.count("*").alias("rows")))
     counts = per_text.select("rows", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +280,7 @@ def swapped_words(inspected: DataFrame) -> DataFrame:
 
     may_be = counts.mapInArrow(run, "word string, n long, rows long, meant string, pairs array<int>")
     def commoner(meant: str, n: str):
-        lone = F.col("word").rlike(r"\p{L}") & F.col("meant").isin("\u2013", "\u2014") & (F.col(meant) >= LONE_SHARE * F.col(n))
+        lone = F.col("word").rlike(r"\p{L}") & F.col("meant").rlike("[\\p{L}\u2013\u2014]") & (F.col(meant) >= LONE_SHARE * F.col(n))
         return (F.col(meant) >= 2) & (F.col(meant) >= SHARE * F.col(n)) & ((F.length("word") > 1) | lone)
 
     may_be = cut_lineage(may_be.join(counts.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant"))
@@ -275,23 +290,23 @@ def swapped_words(inspected: DataFrame) -> DataFrame:
     clean = uses.join(found, "copy", "left_anti").groupBy(F.col("word").alias("meant")).agg(F.sum("rows").alias("rows_meant"))
     by_rows = may_be.join(clean, "meant").where(commoner("rows_meant", "rows") & (F.col("n_meant") >= F.col("n")))
     hit = by_texts.unionByName(by_rows)
-    best = hit.groupBy("word").agg(F.max(F.struct("n_meant", "rows_meant", "meant", "pairs")).alias("b"))
+    script = F.col("word").rlike(r"\p{IsCyrillic}") == F.col("meant").rlike(r"\p{IsCyrillic}")
+    best = hit.groupBy("word").agg(F.max(F.struct(script.alias("script"), "n_meant", "rows_meant", "meant", "pairs")).alias("b"))
     return best.select("word", F.col("b.meant").alias("meant"), F.col("b.pairs").alias("pairs"))
 
 
-def swaps_of_texts(inspected: DataFrame) -> DataFrame:
+def swaps_of_texts(texts: DataFrame) -> DataFrame:
     """`copy`, `word`, `meant` of the words that are swapped in a text.
 
     A text with a word of swapped_words() was read in the pair of encodings that
-    explains most such words in it, and so were its other words, however rare:
-    all of them, or, if some are commoner as they are in the texts without such
-    words (it is garbled in part only), those that are commoner as the pair has
-    them.
+    explains most such words in it, lone letters and signs aside; its words are
+    read so first. So were its other words, however rare: all of them, or, if
+    some are commoner as they are in the texts without such words (it is garbled
+    in part only), those that are commoner as the pair has them.
     """
-    texts = cut_lineage(inspected.where(F.size("words") > 0).groupBy("copy").agg(F.first("words").alias("words")))
     uses = texts.select("copy", F.explode("words").alias("word"))
-    certain = cut_lineage(uses.join(swapped_words(inspected), "word").select("copy", "word", "meant", "pairs"))
-    votes = certain.select("copy", F.explode("pairs").alias("pair")).groupBy("copy", "pair").agg(F.count("*").alias("n"))
+    certain = cut_lineage(uses.join(swapped_words(texts), "word").select("copy", "word", "meant", "pairs"))
+    votes = certain.where(~F.col("word").rlike("^.0?$")).select("copy", F.explode("pairs").alias("pair")).groupBy("copy", "pair").agg(F.count("*").alias("n"))
     pair = votes.groupBy("copy").agg(F.max_by("pair", F.struct("n", -F.col("pair"))).alias("pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +314,15 @@ def swaps_of_texts(inspected: DataFrame) -> DataFrame:
             rows = [(c, w, r) for c, k, ws in zip(*(c.to_pylist() for c in b.columns)) for w in ws if (r := reading(w, *PAIRS[k])) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["copy", "word", "meant"])
 
-    rest = texts.join(pair, "copy").select("copy", "pair", "words").mapInArrow(run, "copy long, word string, meant string").join(certain.select("copy", "word"), ["copy", "word"], "left_anti")
+    paired = cut_lineage(texts.join(pair, "copy").select("copy", "pair", "words").mapInArrow(run, "copy long, word string, meant string"))
+    told = certain.select("copy", "word", "meant").join(paired.withColumnRenamed("meant", "as_paired"), ["copy", "word"], "left")
+    told = told.select("copy", "word", F.coalesce("as_paired", "meant").alias("meant"))
+    rest = paired.join(certain.select("copy", "word"), ["copy", "word"], "left_anti")
     clean = uses.join(pair, "copy", "left_anti").groupBy("word").agg(F.count("*").alias("n"))
     rest = rest.join(clean.withColumnRenamed("n", "n_word"), "word", "left").join(clean.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant", "left").fillna(0, ["n_word", "n_meant"])
     whole = F.min(F.col("n_word") <= F.col("n_meant")).over(W.partitionBy("copy"))
     rest = rest.withColumn("whole", whole).where(F.col("whole") | (F.col("n_meant") > F.col("n_word")))
-    return certain.select("copy", "word", "meant").unionByName(rest.select("copy", "word", "meant"))
+    return told.unionByName(rest.select("copy", "word", "meant"))
 
 
 def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -316,7 +334,7 @@ def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     all distinct texts.
     """
     seen = cut_lineage(inspect(df, key, text))
-    swaps = swaps_of_texts(seen)
+    swaps = swaps_of_texts(texts_of(seen))
     per_row = seen.select(key, "copy").distinct().join(swaps, "copy").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("word", "meant"))).alias("swapped"))
     direct = seen.where((F.col("n_spans") > 0) | F.col("lost")).groupBy(key).agg(F.max("n_spans").alias("n_spans"), F.max("lost").alias("lost"))
     both = direct.join(per_row, key, "full_outer")
@@ -335,7 +353,7 @@ def restore(df: DataFrame, key: str, text: str) -> DataFrame:
             for t, swaps in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 new, _, gone = repair(t)
                 meant = {s["word"]: s["meant"] for s in swaps or ()}
-                fixed.append(_WORD.sub(lambda m, d=meant: d.get(m[0], m[0]), new) if meant else new)
+                fixed.append(reworded(new, meant) if meant else new)
                 lost.append(gone)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fixed, pa.string()), pa.array(lost, pa.bool_())], names=[key, "fixed", "lost"])
 

@@ -59,3 +59,12 @@ def test_copies_of_a_garbled_text_count_once_and_its_rare_words_follow(spark):
     df = spark.createDataFrame(right + once + [(100 + i, swap(bad)) for i in range(40)] + [(200, partly)], "doc_id long, text string")
     fixed = {r.doc_id: r.fixed for r in G.restore(df, "doc_id", "text").collect()}
     assert fixed == {100 + i: bad for i in range(40)} | {200: "Проверка и сверка пуста; тождественность если отчёт уходит"}
+
+
+def test_lone_letters_and_signs_of_numbers(spark):
+    """A letter that stands alone is told by its rareness; others of the same kind stay."""
+    rows = [(i, f"elle a été déplacée à l’été, só é fechada, ruling §{i}") for i in range(120)]
+    rows += [(200, "elle a été déplacée Ó l’été"), (201, "só Θ fechada"), (202, "ruling º10"), (203, "ſ ẞ İ ı ² ½ ‡ π"), (204, "額ではなく数量が入っている。 ¹àÌÜ `x`")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.fixed for r in G.restore(df, "doc_id", "text").collect()}
+    assert got == {200: "elle a été déplacée à l’été", 201: "só é fechada", 202: "ruling §10", 204: "額ではなく数量が入っている。 項目 `x`"}
