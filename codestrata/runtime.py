@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -31,6 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One side of a join, materialised and counted: sent to all executors if it
+    has at most `most_rows` rows, joined by shuffle otherwise. For narrow rows."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for df in frames for c in df.columns}
