@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.runtime import cut_lineage
+from codestrata.runtime import cut_lineage, small_side
 
 # Encodings that texts get read in by mistake, likeliest first.
 SINGLE_BYTE = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "iso8859_2"]
@@ -286,8 +286,8 @@ def swapped_words(per_text: DataFrame) -> DataFrame:
     may_be = cut_lineage(may_be.join(counts.select(F.col("word").alias("meant"), F.col("n").alias("n_meant")), "meant"))
     by_texts = may_be.where(commoner("n_meant", "n")).withColumn("rows_meant", F.lit(0).cast("long"))
     uses = per_text.select("copy", "rows", F.explode("words").alias("word"))
-    found = uses.join(by_texts.select("word").distinct(), "word", "left_semi").select("copy").distinct()
-    clean = uses.join(found, "copy", "left_anti").groupBy(F.col("word").alias("meant")).agg(F.sum("rows").alias("rows_meant"))
+    found = uses.join(small_side(by_texts.select("word").distinct()), "word", "left_semi").select("copy").distinct()
+    clean = uses.join(small_side(found), "copy", "left_anti").groupBy(F.col("word").alias("meant")).agg(F.sum("rows").alias("rows_meant"))
     by_rows = may_be.join(clean, "meant").where(commoner("rows_meant", "rows") & (F.col("n_meant") >= F.col("n")))
     hit = by_texts.unionByName(by_rows)
     script = F.col("word").rlike(r"\p{IsCyrillic}") == F.col("meant").rlike(r"\p{IsCyrillic}")
@@ -305,9 +305,9 @@ def swaps_of_texts(texts: DataFrame) -> DataFrame:
     in part only), those that are commoner as the pair has them.
     """
     uses = texts.select("copy", F.explode("words").alias("word"))
-    certain = cut_lineage(uses.join(swapped_words(texts), "word").select("copy", "word", "meant", "pairs"))
+    certain = cut_lineage(uses.join(small_side(swapped_words(texts)), "word").select("copy", "word", "meant", "pairs"))
     votes = certain.where(~F.col("word").rlike("^.0?$")).select("copy", F.explode("pairs").alias("pair")).groupBy("copy", "pair").agg(F.count("*").alias("n"))
-    pair = votes.groupBy("copy").agg(F.max_by("pair", F.struct("n", -F.col("pair"))).alias("pair"))
+    pair = small_side(votes.groupBy("copy").agg(F.max_by("pair", F.struct("n", -F.col("pair"))).alias("pair")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
