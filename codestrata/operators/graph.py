@@ -21,6 +21,7 @@ DECAY, HUB_SHARE, HUB_LEAST = 0.7, 0.99, 25
 DEPTH, MAX_DEPTH, ITEMS, UNKNOWNS = 3, 6, 50, 50
 INCLUDE = ("static", "framework", "dynamic_hint")
 PATHS = 20
+HOPS, WALK = 6, 15
 
 
 def usable_edges(edges: DataFrame, nodes: DataFrame, include: tuple[str, ...] = INCLUDE) -> DataFrame:
@@ -188,7 +189,7 @@ def slices(nodes: DataFrame, edges: DataFrame, entries: DataFrame, depth: int =
     return full.select("entry", "id", "depth", stop.alias("stop"))
 
 
-def entry_links(edges: DataFrame, starts: DataFrame, entries: DataFrame, depth: int = 6) -> DataFrame:
+def entry_links(edges: DataFrame, starts: DataFrame, entries: DataFrame, depth: int = HOPS) -> DataFrame:
     """`start`, `entry`, `hops`, `confidence`: the entry points from which a
     start is reached backwards, with the fewest hops and, over these, the
     greatest of the least confidences on the way. An entry ends its branch."""
@@ -207,7 +208,7 @@ def entry_links(edges: DataFrame, starts: DataFrame, entries: DataFrame, depth:
     return reached.where("is_entry").select("start", F.col("id").alias("entry"), "hops", "confidence")
 
 
-def dominant_walk(edges: DataFrame, start: DataFrame, signal: Column, longest: int = 15) -> DataFrame:
+def dominant_walk(edges: DataFrame, start: DataFrame, signal: Column, longest: int = WALK) -> DataFrame:
     """`start`, `pos`, `id`: from each start always on to the successor with the
     greatest (signal, confidence, -edge id), until none is left or one repeats."""
     e = trusted(edges).withColumn("signal", signal).groupBy("src").agg(F.max(F.struct("signal", O.confidence(F.col("origin"), F.col("confidence")).alias("c"), (-F.col("edge_id")).alias("k"), "dst"))["dst"].alias("next"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,19 @@ RRF_K, RRF_DEPTH = 60, 50
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+# Latin letters with marks and the letters without, by Unicode's own decomposition.
+MARKED = [(chr(c), d[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
+MARKED_FROM, MARKED_TO = ("".join(x) for x in zip(*MARKED))
+
+
+def without_marks(text: Column) -> Column:
+    """A text whose Latin letters bear no diacritics, composed or combining."""
+    return F.translate(F.regexp_replace(text, r"[\x{300}-\x{36F}]", ""), MARKED_FROM, MARKED_TO)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased words of a text; none for null."""
-    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower), F.array().cast("array<string>"))
+    """Lower-cased words of a text without diacritics; none for null."""
+    return F.coalesce(F.transform(F.regexp_extract_all(without_marks(text), F.lit(TOKEN), F.lit(0)), F.lower), F.array().cast("array<string>"))
 
 
 def build_index(pages: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +48,8 @@ def bm25(postings: DataFrame, lengths: DataFrame, key: str, query: str, weights:
     query, best first by score. A query without words finds nothing."""
     import re
 
-    prefixes = [p.lower() for p in re.findall(r"[^\W_]+", query)]
+    bare = "".join(c for c in unicodedata.normalize("NFD", query) if not "\u0300" <= c <= "\u036f")
+    prefixes = [p.lower() for p in re.findall(r"[^\W_]+", bare)]
     if not prefixes:
         return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
     stats = lengths.agg(F.count("*").alias("n_pages"), F.avg("length").alias("avg_length"))

@@ -67,41 +67,21 @@ def _entries(spark, base) -> DataFrame:
 
 
 def slices_forward(spark: SparkSession, base: str) -> DataFrame:
-    return graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base), 3).select("entry", "id", "depth")
+    return graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base)).select("entry", "id", "depth")
 
 
 def slice_stops(spark: SparkSession, base: str) -> DataFrame:
-    s = graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base), 3)
+    s = graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base))
     return s.where("stop is not null").groupBy("stop", "depth").agg(F.count("*").alias("n"))
 
 
 def entry_links(spark: SparkSession, base: str) -> DataFrame:
     n = R.nodes(spark, base)
     e = R.edges(spark, base)
-    return graph.entry_links(e, n.where("node_type = 'db_model'").select("id"), _entries(spark, base), 3).select("start", "entry", "hops", F.round("confidence", 6).alias("confidence"))
+    return graph.entry_links(e, n.where("node_type = 'db_model'").select("id"), _entries(spark, base)).select("start", "entry", "hops", F.round("confidence", 6).alias("confidence"))
 
 
 def primary_walk(spark: SparkSession, base: str) -> DataFrame:
-    signal = F.when(F.col("edge_kind") == "framework_binds", 2).when(F.col("edge_kind") == "calls", 1).otherwise(0)
-    return graph.dominant_walk(R.edges(spark, base), _entries(spark, base), signal, 4)
-
-
-# The same traversals as far as the operators go by default. The SQL below is unrolled to fewer levels; these have none.
-def slices_forward_whole(spark: SparkSession, base: str) -> DataFrame:
-    return graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base)).select("entry", "id", "depth")
-
-
-def slice_stops_whole(spark: SparkSession, base: str) -> DataFrame:
-    s = graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base))
-    return s.where("stop is not null").groupBy("stop", "depth").agg(F.count("*").alias("n"))
-
-
-def entry_links_whole(spark: SparkSession, base: str) -> DataFrame:
-    starts = R.nodes(spark, base).where("node_type = 'db_model'").select("id")
-    return graph.entry_links(R.edges(spark, base), starts, _entries(spark, base)).select("start", "entry", "hops", F.round("confidence", 6).alias("confidence"))
-
-
-def primary_walk_whole(spark: SparkSession, base: str) -> DataFrame:
     signal = F.when(F.col("edge_kind") == "framework_binds", 2).when(F.col("edge_kind") == "calls", 1).otherwise(0)
     return graph.dominant_walk(R.edges(spark, base), _entries(spark, base), signal)
 
@@ -177,23 +157,23 @@ _ENTRY = "en AS (SELECT id FROM n WHERE node_type IN ('endpoint', 'batch_job'))"
 
 
 def _slice(d: int) -> str:
-    before = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(d))
-    return f", s{d} AS (SELECT DISTINCT entry, dst AS id, {d} AS depth FROM s{d - 1} JOIN tn ON src = s{d - 1}.id WHERE (entry, dst) NOT IN (SELECT entry, id FROM ({before})))"
+    return f""", s{d} AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT entry, dst AS id, {d} AS depth FROM s{d - 1} JOIN tn ON src = s{d - 1}.id) x ANTI JOIN a{d - 1} USING (entry, id)),
+    a{d} AS MATERIALIZED (SELECT * FROM a{d - 1} UNION ALL SELECT entry, id FROM s{d})"""
 
 
-_SLICES = _BASE + f", {_ENTRY}, tn AS (SELECT DISTINCT src, dst FROM t WHERE dst IN (SELECT id FROM n)), s0 AS (SELECT id AS entry, id, 0 AS depth FROM en)" + "".join(map(_slice, (1, 2, 3))) + ", sl AS (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(4)) + ")"
+_DEPTHS, _HOPS = range(1, O.FLOW_DEPTH + 1), range(1, graph.HOPS + 1)
+_SLICES = _BASE + f", {_ENTRY}, tn AS MATERIALIZED (SELECT DISTINCT src, dst FROM t WHERE dst IN (SELECT id FROM n)), s0 AS (SELECT id AS entry, id, 0 AS depth FROM en), a0 AS (SELECT entry, id FROM s0)" + "".join(map(_slice, _DEPTHS)) + ", sl AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in (0, *_DEPTHS)) + ")"
 
 
 def _back(d: int) -> str:
-    before = " UNION ALL ".join(f"SELECT start, id FROM b{k}" for k in range(d))
-    return f""", b{d} AS (SELECT start, src AS id, {d} AS hops, max(least(b.confidence, tc.conf)) AS confidence FROM b{d - 1} b JOIN tc ON dst = b.id
-      WHERE (b.hops = 0 OR b.id NOT IN (SELECT id FROM en)) AND (start, src) NOT IN ({before}) GROUP BY ALL)"""
+    return f""", b{d} AS MATERIALIZED (SELECT x.* FROM (SELECT start, src AS id, {d} AS hops, max(least(b.confidence, tc.conf)) AS confidence FROM b{d - 1} b JOIN tc ON dst = b.id
+      WHERE b.hops = 0 OR b.id NOT IN (SELECT id FROM en) GROUP BY start, src) x ANTI JOIN c{d - 1} USING (start, id)), c{d} AS MATERIALIZED (SELECT * FROM c{d - 1} UNION ALL SELECT start, id FROM b{d})"""
 
 
-_LINKS = _BASE + f", {_ENTRY}, tc AS (SELECT src, dst, max(conf) AS conf FROM t GROUP BY ALL), b0 AS (SELECT id AS start, id, 0 AS hops, CAST(1.0 AS DOUBLE) AS confidence FROM n WHERE node_type = 'db_model')" + "".join(map(_back, (1, 2, 3)))
-_LINKS += " SELECT start, id AS entry, hops, round(confidence, 6) AS confidence FROM (" + " UNION ALL ".join(f"SELECT * FROM b{d}" for d in range(4)) + ") WHERE id IN (SELECT id FROM en)"
+_LINKS = _BASE + f", {_ENTRY}, tc AS MATERIALIZED (SELECT src, dst, max(conf) AS conf FROM t GROUP BY ALL), b0 AS (SELECT id AS start, id, 0 AS hops, CAST(1.0 AS DOUBLE) AS confidence FROM n WHERE node_type = 'db_model'), c0 AS (SELECT start, id FROM b0)" + "".join(map(_back, _HOPS))
+_LINKS += " SELECT start, id AS entry, hops, round(confidence, 6) AS confidence FROM (" + " UNION ALL ".join(f"SELECT * FROM b{d}" for d in (0, *_HOPS)) + ") WHERE id IN (SELECT id FROM en)"
 _WALK = _BASE + f""", {_ENTRY}, nx AS (SELECT src, dst AS nxt FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1),
-wk AS (SELECT id AS start, 0 AS pos, id, [id] AS path FROM en UNION ALL SELECT start, pos + 1, nxt, list_append(path, nxt) FROM wk JOIN nx ON src = wk.id WHERE pos < 3 AND NOT list_contains(path, nxt))
+wk AS (SELECT id AS start, 0 AS pos, id, [id] AS path FROM en UNION ALL SELECT start, pos + 1, nxt, list_append(path, nxt) FROM wk JOIN nx ON src = wk.id WHERE pos < {graph.WALK - 1} AND NOT list_contains(path, nxt))
 SELECT start, pos, id FROM wk"""
 _PATHS = _BASE + """, st AS (SELECT min(id) AS id FROM n WHERE node_type = 'endpoint'), go AS (SELECT id FROM n WHERE node_type = 'db_model' ORDER BY id LIMIT 10),
 tn AS (SELECT DISTINCT src, dst FROM t WHERE dst IN (SELECT id FROM n)),
@@ -215,7 +195,7 @@ p AS (SELECT * FROM (SELECT id, lag(id) OVER (PARTITION BY project_slug, branch
 w AS (SELECT id, target, 1 AS hops FROM p UNION ALL SELECT w.id, p.target, hops + 1 FROM w JOIN p ON w.target = p.id WHERE hops < 40)
 SELECT id, CASE WHEN hops <= 32 THEN target END AS target, CASE WHEN hops <= 32 THEN hops END AS hops FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS k FROM w) WHERE k = 1"""
 
-QUERIES = {f.__name__: f for f in (impact_reverse, impact_unknowns, impact_top, impact_by_kind, hub_nodes, neighbourhood_2, call_paths, slices_forward, slice_stops, entry_links, primary_walk, slices_forward_whole, slice_stops_whole, entry_links_whole, primary_walk_whole, stale_propagation, scan_origin, name_components)}
+QUERIES = {f.__name__: f for f in (impact_reverse, impact_unknowns, impact_top, impact_by_kind, hub_nodes, neighbourhood_2, call_paths, slices_forward, slice_stops, entry_links, primary_walk, stale_propagation, scan_origin, name_components)}
 ORACLE = {
     "impact_reverse": _ITEMS + " SELECT * FROM items",
     "impact_unknowns": _LEVELS + " SELECT * FROM (" + " UNION ".join(map(_unknowns, (0, 1, 2))) + ")",
@@ -228,7 +208,7 @@ d2 AS (SELECT DISTINCT b AS id FROM bo JOIN d1 ON a = id WHERE b NOT IN (SELECT
 SELECT id, 0 AS distance FROM d0 UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2""",
     "call_paths": _PATHS, "slices_forward": _SLICES + " SELECT entry, id, depth FROM sl",
     "slice_stops": _SLICES + """, o2 AS (SELECT src AS id, count(*) AS k FROM tn GROUP BY 1), ch AS (SELECT DISTINCT a.entry, a.id FROM sl a JOIN tn ON tn.src = a.id JOIN sl b ON b.entry = a.entry AND b.id = tn.dst AND b.depth = a.depth + 1),
-z AS (SELECT sl.depth, CASE WHEN ch.id IS NOT NULL THEN NULL WHEN node_type = 'external_system' THEN 'external_boundary' WHEN node_type = 'db_model' THEN 'db_boundary' WHEN k IS NULL THEN 'leaf_no_callees' WHEN sl.depth >= 3 THEN 'depth_cap' ELSE 'cycle' END AS stop FROM sl LEFT JOIN o2 USING (id) LEFT JOIN ch ON ch.entry = sl.entry AND ch.id = sl.id LEFT JOIN n ON n.id = sl.id)
+z AS (SELECT sl.depth, CASE WHEN ch.id IS NOT NULL THEN NULL WHEN node_type = 'external_system' THEN 'external_boundary' WHEN node_type = 'db_model' THEN 'db_boundary' WHEN k IS NULL THEN 'leaf_no_callees' WHEN sl.depth >= 8 THEN 'depth_cap' ELSE 'cycle' END AS stop FROM sl LEFT JOIN o2 USING (id) LEFT JOIN ch ON ch.entry = sl.entry AND ch.id = sl.id LEFT JOIN n ON n.id = sl.id)
 SELECT stop, depth, count(*) AS n FROM z WHERE stop IS NOT NULL GROUP BY ALL""",
     "entry_links": _LINKS, "primary_walk": _WALK, "stale_propagation": _FOLDERS, "scan_origin": _CHAIN, "name_components": _COMPONENTS,
 }

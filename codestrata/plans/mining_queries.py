@@ -112,14 +112,6 @@ def sequence_mining(spark: SparkSession, base: str) -> DataFrame:
     """Node types along the dominant walks from all symbols."""
     n = R.nodes(spark, base)
     signal = F.when(F.col("edge_kind") == "framework_binds", 2).when(F.col("edge_kind") == "calls", 1).otherwise(0)
-    walks = graph.dominant_walk(R.edges(spark, base), n.select("id"), signal, 6).join(n.select("id", "node_type"), "id")
-    return mining.sequences(walks, "start", "node_type", "pos", 2, 0.5)
-
-
-def sequence_mining_whole(spark: SparkSession, base: str) -> DataFrame:
-    """The same along walks of the default length; without SQL."""
-    n = R.nodes(spark, base)
-    signal = F.when(F.col("edge_kind") == "framework_binds", 2).when(F.col("edge_kind") == "calls", 1).otherwise(0)
     walks = graph.dominant_walk(R.edges(spark, base), n.select("id"), signal).join(n.select("id", "node_type"), "id")
     return mining.sequences(walks, "start", "node_type", "pos", 2, 0.5)
 
@@ -203,7 +195,7 @@ UNION SELECT site, 6, 'same_package', y.id FROM x JOIN y ON x.scan_id = y.scan_i
 UNION SELECT site, 7, CASE WHEN receiver IS NULL THEN 'global_unique' ELSE 'receiver_global' END, y.id FROM x JOIN y ON x.scan_id = y.scan_id AND x.name = y.name AND lower(x.language) IS NOT DISTINCT FROM lower(y.language)),
 pt AS (SELECT site, tier, count(DISTINCT id) AS n, min(id) AS id, min(origin) AS origin FROM c GROUP BY ALL), f AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY site ORDER BY tier) = 1)"""
 
-QUERIES = {f.__name__: f for f in (hunk_overlap, innermost_span, longest_prefix_root, as_of_value, provider_consumer, convention_tests, module_files, resolve_tiers, unresolved_reasons, dispatch_fanout, fsm_rollup, sequence_mining, sequence_mining_whole, condition_mining, machine_pairs, machine_merge, file_communities, pack_batches, snapshot_gc, drift_check, reuse_by_hash)}
+QUERIES = {f.__name__: f for f in (hunk_overlap, innermost_span, longest_prefix_root, as_of_value, provider_consumer, convention_tests, module_files, resolve_tiers, unresolved_reasons, dispatch_fanout, fsm_rollup, sequence_mining, condition_mining, machine_pairs, machine_merge, file_communities, pack_batches, snapshot_gc, drift_check, reuse_by_hash)}
 ORACLE = {
     "hunk_overlap": _HIT + " SELECT hunk, id FROM h",
     "innermost_span": _HIT + " SELECT hunk, id FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.hunk = h.hunk AND h.line_start <= o.line_start AND h.line_end >= o.line_end AND (h.line_start < o.line_start OR h.line_end > o.line_end))",
@@ -218,8 +210,8 @@ SELECT w.file, arg_min(t.file, (length(t.file), t.file)) AS test FROM w JOIN f t
     "unresolved_reasons": _SITES + " SELECT reason, count(*) AS n FROM (SELECT CASE WHEN f.n > 1 THEN 'ambiguous' WHEN name IN ('" + "', '".join(resolve.BUILTINS) + "') OR regexp_matches(name, '^__.*__$') THEN 'builtin' WHEN regexp_matches(coalesce(receiver, ''), '[(\\[]') THEN 'dynamic' ELSE 'not_found' END AS reason FROM si LEFT JOIN f USING (site) WHERE f.n IS NULL OR f.n > 1) GROUP BY 1",
     "dispatch_fanout": _SITES + ", m AS (SELECT scan_id, name, count(*) AS k FROM y WHERE node_type IN ('method', 'function', 'endpoint') GROUP BY ALL) SELECT CASE WHEN k = 1 THEN 'framework' ELSE 'dispatch' END AS origin, CAST(sum(k) AS BIGINT) AS n FROM si JOIN m USING (scan_id, name) WHERE k <= 24 GROUP BY 1",
     "fsm_rollup": "WITH x AS (SELECT user_id AS entity, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events), m AS (SELECT * FROM x WHERE a IS NOT NULL AND a <> b) SELECT entity, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT a AS v FROM m k WHERE k.entity = m.entity UNION SELECT b FROM m k WHERE k.entity = m.entity)) AS states, count(DISTINCT (a, b)) AS n_moves, count(*) AS n_times FROM m GROUP BY entity",
-    "sequence_mining": _BASE + """, nx AS (SELECT src, dst AS nxt FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1),
-wk AS (SELECT id AS start, 0 AS pos, id, [id] AS path FROM n UNION ALL SELECT start, pos + 1, nxt, list_append(path, nxt) FROM wk JOIN nx ON src = wk.id WHERE pos < 5 AND NOT list_contains(path, nxt)),
+    "sequence_mining": _BASE + f""", nx AS (SELECT src, dst AS nxt FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1),
+wk AS (SELECT id AS start, 0 AS pos, id, [id] AS path FROM n UNION ALL SELECT start, pos + 1, nxt, list_append(path, nxt) FROM wk JOIN nx ON src = wk.id WHERE pos < {graph.WALK - 1} AND NOT list_contains(path, nxt)),
 w AS (SELECT start, node_type AS x, min(pos) AS p FROM wk JOIN n USING (id) GROUP BY ALL), q AS (SELECT a.x AS before, b.x AS after, count(*) AS support FROM w a JOIN w b USING (start) WHERE a.p < b.p GROUP BY ALL)
 SELECT q.before, q.after, q.support, round(q.support / (q.support + coalesce(r.support, 0)), 6) AS confidence FROM q LEFT JOIN q r ON r.before = q.after AND r.after = q.before WHERE q.support >= 2 AND q.support / (q.support + coalesce(r.support, 0)) >= 0.5""",
     "condition_mining": """WITH r AS (SELECT user_id, event_type, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),

@@ -22,12 +22,7 @@ def bm25_pages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def index_stats(spark: SparkSession, base: str) -> DataFrame:
-    postings, _ = T.build_index(_pages(spark, base), "doc_id", ["title", "facts"])
-    return postings.groupBy("token").agg(F.count_distinct("doc_id").alias("n_pages"), F.sum("tf").alias("n_uses"))
-
-
-def index_stats_whole(spark: SparkSession, base: str) -> DataFrame:
-    """The statistics of all columns of the index; index_stats and its SQL leave the body out."""
+    """Pages and uses of every word of the index."""
     postings, _ = T.build_index(_pages(spark, base), "doc_id", ["title", "body", "facts"])
     return postings.groupBy("token").agg(F.count_distinct("doc_id").alias("n_pages"), F.sum("tf").alias("n_uses"))
 
@@ -130,7 +125,7 @@ def embed_delta(spark: SparkSession, base: str) -> DataFrame:
     return V.vector_delta(c.join(R.current(spark, base), "scan_id", "left_anti"), now, "h").groupBy("action").agg(F.count("*").alias("n"))
 
 
-_TOK = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+')"
+_TOK = rf"regexp_extract_all(translate(regexp_replace({{0}}, '[\x{{{{300}}}}-\x{{{{36F}}}}]', '', 'g'), '{T.MARKED_FROM}', '{T.MARKED_TO}'), '[\p{{{{L}}}}\p{{{{N}}}}]+')"
 _BM = f"""WITH p AS (SELECT doc_id, title, text AS body, source AS facts FROM documents),
 w AS (SELECT doc_id, c, lower(unnest(k)) AS t FROM (SELECT doc_id, 10.0 AS c, {_TOK.format('title')} AS k FROM p UNION ALL SELECT doc_id, 1.0, {_TOK.format('body')} FROM p UNION ALL SELECT doc_id, 2.0, {_TOK.format('facts')} FROM p)),
 l AS (SELECT p.doc_id, coalesce(len({_TOK.format('title')}), 0) + coalesce(len({_TOK.format('body')}), 0) + coalesce(len({_TOK.format('facts')}), 0) AS length FROM p),
@@ -145,10 +140,10 @@ bm AS (SELECT doc_id, round(sum(greatest(ln((n_pages - df + 0.5) / (df + 0.5)),
 
 _N = f"WITH {R.NODES}"
 _NOT = "'" + "', '".join(T.NO_DOMAIN) + "'"
-QUERIES = {f.__name__: f for f in (bm25_pages, index_stats, index_stats_whole, pages_like, name_tiers, rrf_hybrid, plain_snippets, chunk_hashes, markdown_sections, token_estimates, intent_clusters, domain_inference, name_stems, similar_stems, injection_flags, grounding_check, routes_normal, page_ids, mask_counts, knn_l2, dual_search, embed_delta)}
+QUERIES = {f.__name__: f for f in (bm25_pages, index_stats, pages_like, name_tiers, rrf_hybrid, plain_snippets, chunk_hashes, markdown_sections, token_estimates, intent_clusters, domain_inference, name_stems, similar_stems, injection_flags, grounding_check, routes_normal, page_ids, mask_counts, knn_l2, dual_search, embed_delta)}
 ORACLE = {
     "bm25_pages": _bm(["ledger", "mapp"]) + " SELECT doc_id, score FROM bm",
-    "index_stats": f"WITH w AS (SELECT doc_id, lower(unnest({_TOK.format('title')})) AS token FROM documents UNION ALL SELECT doc_id, lower(unnest({_TOK.format('source')})) FROM documents) SELECT token, count(DISTINCT doc_id) AS n_pages, count(*) AS n_uses FROM w GROUP BY 1",
+    "index_stats": _BM + " SELECT t AS token, count(DISTINCT doc_id) AS n_pages, count(*) AS n_uses FROM w GROUP BY 1",
     "pages_like": "SELECT doc_id FROM documents WHERE title ILIKE '%rolled back%' OR text ILIKE '%rolled back%'",
     "name_tiers": _N + " SELECT DISTINCT qn, CASE WHEN lower(qn) = 'ledger' THEN 0 WHEN ends_with(lower(qn), '.ledger') THEN 1 ELSE 2 END AS tier FROM n WHERE instr(lower(qn), 'ledger') > 0",
     "rrf_hybrid": _bm(["ledger"]) + """, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, 'words' AS s FROM bm QUALIFY k <= 50),
