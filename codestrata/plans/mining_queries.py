@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import graph, joins, mining, resolve, rollups, snapshots
+from codestrata.operators import graph, joins, mining, resolve, rollups, snapshots, typed_calls
 from codestrata.operators import text as T
 from codestrata.operators.manifest_delta import latest_state
 from codestrata.plans import relations as R
@@ -90,6 +90,22 @@ def unresolved_reasons(spark: SparkSession, base: str) -> DataFrame:
     return rest.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _typed(spark, base) -> tuple[DataFrame, DataFrame]:
+    """Calls whose receiver names a type, over the types and members of their scan."""
+    symbols = _symbols(spark, base).withColumn("extends_type", F.lit(None).cast("string"))
+    variables = spark.createDataFrame([], "scan_id long, scope string, variable string, type_name string")
+    bases = spark.createDataFrame([], "scan_id long, class_qn string, base string")
+    return typed_calls.resolve_typed(_sites(spark, base), variables, symbols, bases)
+
+
+def typed_receivers(spark: SparkSession, base: str) -> DataFrame:
+    return _typed(spark, base)[0].select("site", "id", "origin", "confidence")
+
+
+def untyped_receivers(spark: SparkSession, base: str) -> DataFrame:
+    return _typed(spark, base)[1].groupBy("reason").agg(F.count("*").alias("n"), F.sum("n_candidates").alias("n_candidates"))
+
+
 def dispatch_fanout(spark: SparkSession, base: str) -> DataFrame:
     """Calls by name to all methods of that name in the scan, refused above the cap."""
     n = _symbols(spark, base)
@@ -195,7 +211,12 @@ UNION SELECT site, 6, 'same_package', y.id FROM x JOIN y ON x.scan_id = y.scan_i
 UNION SELECT site, 7, CASE WHEN receiver IS NULL THEN 'global_unique' ELSE 'receiver_global' END, y.id FROM x JOIN y ON x.scan_id = y.scan_id AND x.name = y.name AND lower(x.language) IS NOT DISTINCT FROM lower(y.language)),
 pt AS (SELECT site, tier, count(DISTINCT id) AS n, min(id) AS id, min(origin) AS origin FROM c GROUP BY ALL), f AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY site ORDER BY tier) = 1)"""
 
-QUERIES = {f.__name__: f for f in (hunk_overlap, innermost_span, longest_prefix_root, as_of_value, provider_consumer, convention_tests, module_files, resolve_tiers, unresolved_reasons, dispatch_fanout, fsm_rollup, sequence_mining, condition_mining, machine_pairs, machine_merge, file_communities, pack_batches, snapshot_gc, drift_check, reuse_by_hash)}
+_TYPED = _SITES + r""", cl AS (SELECT scan_id, id AS cid, qn AS cqn, name AS short, file_path AS cfile FROM y WHERE node_type IN ('class', 'interface', 'db_model')),
+tj AS (SELECT site, x.name AS member, x.scan_id, cid, cqn, cfile = file_path OR regexp_extract(cfile, '^(.*)/[^/]*$', 1) = cdir AS near FROM x JOIN cl ON cl.scan_id = x.scan_id AND short = receiver),
+tp AS (SELECT site, any_value(member) AS member, any_value(scan_id) AS scan_id, count(DISTINCT cid) FILTER (WHERE near) AS nn, count(DISTINCT cid) AS n, arg_min(cqn, cid) FILTER (WHERE near) AS nq, arg_min(cqn, cid) AS aq FROM tj GROUP BY site),
+tq AS (SELECT site, member, scan_id, n, CASE WHEN nn = 1 THEN nq WHEN n = 1 THEN aq END AS cqn, CASE WHEN nn = 1 THEN 'receiver_typed' WHEN n = 1 THEN 'receiver_global' END AS origin FROM tp),
+tg AS (SELECT site, y.id, tq.origin, o_conf AS confidence FROM tq JOIN y ON y.scan_id = tq.scan_id AND y.qn = cqn || '.' || member JOIN o ON o.origin = tq.origin)"""
+QUERIES = {f.__name__: f for f in (hunk_overlap, innermost_span, longest_prefix_root, as_of_value, provider_consumer, convention_tests, module_files, resolve_tiers, unresolved_reasons, typed_receivers, untyped_receivers, dispatch_fanout, fsm_rollup, sequence_mining, condition_mining, machine_pairs, machine_merge, file_communities, pack_batches, snapshot_gc, drift_check, reuse_by_hash)}
 ORACLE = {
     "hunk_overlap": _HIT + " SELECT hunk, id FROM h",
     "innermost_span": _HIT + " SELECT hunk, id FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.hunk = h.hunk AND h.line_start <= o.line_start AND h.line_end >= o.line_end AND (h.line_start < o.line_start OR h.line_end > o.line_end))",
@@ -208,6 +229,8 @@ w AS (SELECT file, unnest(['test_' || b || '.' || x, b || '_test.' || x, b || 'T
 SELECT w.file, arg_min(t.file, (length(t.file), t.file)) AS test FROM w JOIN f t ON regexp_extract(t.file, '([^/]+)$', 1) = w.name GROUP BY 1""",
     "resolve_tiers": _SITES + " SELECT site, id, origin FROM f WHERE n = 1",
     "unresolved_reasons": _SITES + " SELECT reason, count(*) AS n FROM (SELECT CASE WHEN f.n > 1 THEN 'ambiguous' WHEN name IN ('" + "', '".join(resolve.BUILTINS) + "') OR regexp_matches(name, '^__.*__$') THEN 'builtin' WHEN regexp_matches(coalesce(receiver, ''), '[(\\[]') THEN 'dynamic' ELSE 'not_found' END AS reason FROM si LEFT JOIN f USING (site) WHERE f.n IS NULL OR f.n > 1) GROUP BY 1",
+    "typed_receivers": _TYPED + " SELECT site, id, origin, CAST(confidence AS DOUBLE) AS confidence FROM tg",
+    "untyped_receivers": _TYPED + " SELECT CASE WHEN cqn IS NULL THEN 'di_ambiguous' ELSE 'not_found' END AS reason, count(*) AS n, CAST(sum(CASE WHEN cqn IS NULL THEN n ELSE 0 END) AS BIGINT) AS n_candidates FROM tq WHERE site NOT IN (SELECT site FROM tg) GROUP BY 1",
     "dispatch_fanout": _SITES + ", m AS (SELECT scan_id, name, count(*) AS k FROM y WHERE node_type IN ('method', 'function', 'endpoint') GROUP BY ALL) SELECT CASE WHEN k = 1 THEN 'framework' ELSE 'dispatch' END AS origin, CAST(sum(k) AS BIGINT) AS n FROM si JOIN m USING (scan_id, name) WHERE k <= 24 GROUP BY 1",
     "fsm_rollup": "WITH x AS (SELECT user_id AS entity, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events), m AS (SELECT * FROM x WHERE a IS NOT NULL AND a <> b) SELECT entity, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT a AS v FROM m k WHERE k.entity = m.entity UNION SELECT b FROM m k WHERE k.entity = m.entity)) AS states, count(DISTINCT (a, b)) AS n_moves, count(*) AS n_times FROM m GROUP BY entity",
     "sequence_mining": _BASE + f""", nx AS (SELECT src, dst AS nxt FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1),
