@@ -91,10 +91,16 @@ def unresolved_reasons(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _typed(spark, base) -> tuple[DataFrame, DataFrame]:
-    """Calls whose receiver names a type, over the types and members of their scan."""
-    symbols = _symbols(spark, base).withColumn("extends_type", F.lit(None).cast("string"))
+    """Calls whose receiver names a type. Types are what callables belong to by
+    their names; the first type of a folder is taken for the base of the others."""
+    n = _symbols(spark, base).withColumn("extends_type", F.lit(None).cast("string"))
+    callables = n.where(F.col("node_type").isin("method", "function", "endpoint"))
+    c = callables.select("scan_id", resolve.owner(F.col("qn")).alias("qn"), "id", "file_path", F.lower("language").alias("language"), F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("dir")).groupBy("scan_id", "qn").agg(F.min("id").alias("id"), F.min("file_path").alias("file_path"), F.min("language").alias("language"), F.min("dir").alias("dir"))
+    none = F.lit(None).cast("string")
+    types = c.select("id", "scan_id", "qn", typed_calls.short(F.col("qn")).alias("name"), F.lit("class").alias("node_type"), "language", "file_path", none.alias("return_type"), none.alias("extends_type"))
+    symbols = callables.select(types.columns).unionByName(types)
+    bases = c.join(c.groupBy("scan_id", "dir").agg(F.min("qn").alias("base")), ["scan_id", "dir"]).where("qn <> base").select("scan_id", F.col("qn").alias("class_qn"), "base")
     variables = spark.createDataFrame([], "scan_id long, scope string, variable string, type_name string")
-    bases = spark.createDataFrame([], "scan_id long, class_qn string, base string")
     return typed_calls.resolve_typed(_sites(spark, base), variables, symbols, bases)
 
 
@@ -211,11 +217,15 @@ UNION SELECT site, 6, 'same_package', y.id FROM x JOIN y ON x.scan_id = y.scan_i
 UNION SELECT site, 7, CASE WHEN receiver IS NULL THEN 'global_unique' ELSE 'receiver_global' END, y.id FROM x JOIN y ON x.scan_id = y.scan_id AND x.name = y.name AND lower(x.language) IS NOT DISTINCT FROM lower(y.language)),
 pt AS (SELECT site, tier, count(DISTINCT id) AS n, min(id) AS id, min(origin) AS origin FROM c GROUP BY ALL), f AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY site ORDER BY tier) = 1)"""
 
-_TYPED = _SITES + r""", cl AS (SELECT scan_id, id AS cid, qn AS cqn, name AS short, file_path AS cfile FROM y WHERE node_type IN ('class', 'interface', 'db_model')),
+_TYPED = _SITES + r""", ca AS (SELECT * FROM y WHERE node_type IN ('method', 'function', 'endpoint')),
+cl AS (SELECT scan_id, own AS cqn, regexp_extract(own, '([^.]+)$', 1) AS short, min(id) AS cid, min(file_path) AS cfile, min(dir) AS dir FROM ca GROUP BY scan_id, own),
+ba AS (SELECT scan_id, dir, min(cqn) AS base FROM cl GROUP BY ALL), bs AS (SELECT cl.scan_id, cl.cqn, b2.cqn AS base FROM cl JOIN ba USING (scan_id, dir) JOIN cl b2 ON b2.scan_id = cl.scan_id AND b2.short = regexp_extract(ba.base, '([^.]+)$', 1) WHERE cl.cqn <> ba.base AND b2.cqn <> cl.cqn),
 tj AS (SELECT site, x.name AS member, x.scan_id, cid, cqn, cfile = file_path OR regexp_extract(cfile, '^(.*)/[^/]*$', 1) = cdir AS near FROM x JOIN cl ON cl.scan_id = x.scan_id AND short = receiver),
 tp AS (SELECT site, any_value(member) AS member, any_value(scan_id) AS scan_id, count(DISTINCT cid) FILTER (WHERE near) AS nn, count(DISTINCT cid) AS n, arg_min(cqn, cid) FILTER (WHERE near) AS nq, arg_min(cqn, cid) AS aq FROM tj GROUP BY site),
 tq AS (SELECT site, member, scan_id, n, CASE WHEN nn = 1 THEN nq WHEN n = 1 THEN aq END AS cqn, CASE WHEN nn = 1 THEN 'receiver_typed' WHEN n = 1 THEN 'receiver_global' END AS origin FROM tp),
-tg AS (SELECT site, y.id, tq.origin, o_conf AS confidence FROM tq JOIN y ON y.scan_id = tq.scan_id AND y.qn = cqn || '.' || member JOIN o ON o.origin = tq.origin)"""
+t1 AS (SELECT site, ca.id, tq.origin FROM tq JOIN ca ON ca.scan_id = tq.scan_id AND ca.qn = cqn || '.' || member),
+t2 AS (SELECT site, min(ca.id) AS id, 'inherited' AS origin FROM tq JOIN bs USING (scan_id, cqn) JOIN ca ON ca.scan_id = tq.scan_id AND ca.qn = bs.base || '.' || member WHERE site NOT IN (SELECT site FROM t1) GROUP BY site HAVING count(DISTINCT ca.id) = 1),
+tg AS (SELECT site, id, origin, o_conf AS confidence FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) JOIN o USING (origin))"""
 QUERIES = {f.__name__: f for f in (hunk_overlap, innermost_span, longest_prefix_root, as_of_value, provider_consumer, convention_tests, module_files, resolve_tiers, unresolved_reasons, typed_receivers, untyped_receivers, dispatch_fanout, fsm_rollup, sequence_mining, condition_mining, machine_pairs, machine_merge, file_communities, pack_batches, snapshot_gc, drift_check, reuse_by_hash)}
 ORACLE = {
     "hunk_overlap": _HIT + " SELECT hunk, id FROM h",
