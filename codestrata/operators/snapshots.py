@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -48,6 +50,69 @@ def decide(name: str, print_: str, stored: dict[str, tuple[str, str]], forced: b
     return "reuse" if status == "complete" and last == print_ else "run"
 
 
+def run_stages(stages: list[tuple[str, str, dict, Callable[[], None]]], commit: str, stored: dict[str, tuple[str, str]], record: Callable[[str, str, str], None], forced: tuple[str, ...] = ()) -> dict[str, str]:
+    """Run the stages (name, version, config, work) whose input changed; what each
+    did. `record` (name, status, fingerprint) keeps a line before and after; a
+    stage that fails ends the run, and the next run begins with it."""
+    prints, out = fingerprint_chain([(n, v, c) for n, v, c, _ in stages], commit), {}
+    for name, _, _, work in stages:
+        out[name] = decide(name, prints[name], stored, name in forced)
+        if out[name] == "reuse":
+            continue
+        record(name, "started", prints[name])
+        try:
+            work()
+        except Exception:
+            record(name, "error", prints[name])
+            raise
+        record(name, "complete", prints[name])
+    return out
+
+
+class RunLock:
+    """One writer at a time: a file made exclusively, with the writer's process.
+    The lock of a process that is no more is taken over."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __enter__(self) -> RunLock:
+        for _ in range(2):
+            try:
+                with open(self.path, "x") as f:
+                    f.write(str(os.getpid()))
+                return self
+            except FileExistsError:
+                with open(self.path) as f:
+                    holder = f.read().strip()
+                try:
+                    os.kill(int(holder), 0)
+                except (ValueError, ProcessLookupError):
+                    os.unlink(self.path)
+                    continue
+                except PermissionError:
+                    pass
+                raise RuntimeError(f"process {holder} is writing") from None
+        raise RuntimeError("another process is writing")
+
+    def __exit__(self, *_) -> None:
+        os.unlink(self.path)
+
+
+def cached_answers(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (`key` and more) with the last answer kept for their key, and those without one."""
+    last = cache.groupBy("key").agg(F.max(F.struct("at", "answer")).alias("_a")).select("key", F.col("_a.answer").alias("answer"))
+    j = requests.join(last, "key", "left")
+    return j.where("answer is not null"), j.where("answer is null").drop("answer")
+
+
+def watch_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """`path`, `change` of files (`path`, `mtime`, `size`) that were added, removed or changed."""
+    b = before.select("path", F.struct("mtime", "size").alias("_b"))
+    j = b.join(after.select("path", F.struct("mtime", "size").alias("_a")), "path", "full_outer")
+    return j.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("path", F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("changed").alias("change"))
+
+
 def resume_phase(phases: DataFrame) -> DataFrame:
     """`scan_id`, `next_phase`: one after the last phase that completed."""
     return phases.groupBy("scan_id").agg((F.coalesce(F.max(F.when(F.col("status") == "complete", F.col("phase"))), F.lit(0)) + 1).alias("next_phase"))

@@ -210,6 +210,125 @@ def symbol_source(ctx: Context, sources: DataFrame, target: str, context_lines:
     return Answer(OK, rows[0].asDict()) if rows else Answer(MISSING)
 
 
+def _pages_of(ctx: Context, kind: str) -> DataFrame:
+    from codestrata.plans.pages import run_builders
+
+    return run_builders(ctx, [kind])
+
+
+def _one(pages: DataFrame, key: str, *also) -> tuple[str, DataFrame]:
+    """The page of an id, else of a title, whatever its case, else of one of the conditions; several are ambiguous."""
+    for hit in (pages.where(F.col("page_id") == key), pages.where(F.lower("title") == key.lower()), *(pages.where(c) for c in also)):
+        k = hit.select("page_id").distinct().limit(2).count()
+        if k:
+            return (OK if k == 1 else AMBIGUOUS), hit
+    return MISSING, pages.limit(0)
+
+
+def _page_answer(pages: DataFrame, key: str, *also) -> tuple[Answer, dict | None]:
+    import json
+
+    status, hit = _one(pages, key, *also)
+    if status != OK:
+        near = hit if status == AMBIGUOUS else pages.where(F.instr(F.lower("title"), key.lower()) > 0)
+        return Answer(status, {"candidates": [r.page_id for r in near.orderBy(F.length("page_id"), "page_id").limit(5).collect()]}), None
+    r = hit.limit(1).collect()[0]
+    page = {"page_id": r.page_id, "title": r.title, "links": r.links, **json.loads(r.facts)}
+    return Answer(OK, {"page": page}), page
+
+
+@tool("screen")
+def screen(ctx: Context, key: str) -> Answer:
+    """A part of the user interface by id, label or route: what it calls and the tables behind."""
+    return _page_answer(_pages_of(ctx, "screens"), key, F.get_json_object("facts", "$.file_path") == key)[0]
+
+
+@tool("entity", shed=("moves",))
+def entity(ctx: Context, key: str) -> Answer:
+    """An entity by id or name; its moves are those of `ctx.options["moves"]` (`entity`, `from_state`, `to_state`)."""
+    a, page = _page_answer(_pages_of(ctx, "entities"), key)
+    moves = ctx.options.get("moves")
+    if page and moves is not None:
+        of = moves.where(F.col("entity") == page["page_id"].split("/", 1)[-1]).groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+        a.data["moves"] = a.cap("moves", of, 50, F.desc("n"), "from_state", "to_state")
+    return a
+
+
+@tool("flow", shed=("steps",))
+def flow(ctx: Context, key: str) -> Answer:
+    """What an entry point runs, step by step, with what it touches."""
+    from codestrata.operators import catalog
+
+    status, hit = resolve_symbol(ctx, key)
+    if status != OK:
+        return _unknown(ctx, status, hit, key)
+    a = Answer()
+    s = graph.slices(ctx.nodes, ctx.edges, hit.select("id"), ctx.options.get("flow_depth", O.FLOW_DEPTH))
+    a.data["steps"] = a.cap("steps", s.join(ctx.nodes.select("id", "qn"), "id").select("depth", "qn", "stop"), 50, "depth", "qn")
+    a.data["touches"] = [r.asDict() for r in catalog.touches(s, ctx.edges, ctx.nodes).collect()]  # one row
+    return a
+
+
+@tool("table", shed=("users",))
+def table(ctx: Context, key: str) -> Answer:
+    """A table by name: who reads and writes it, and keys to and from it (`ctx.options["keys"]`: `from_table`, `to_table`)."""
+    models = ctx.nodes.where("node_type = 'db_model'")
+    hit = models.where((F.col("qn") == key) | (F.lower("name") == key.lower()))
+    k = hit.select("qn").distinct().limit(2).count()
+    if k != 1:
+        return _unknown(ctx, AMBIGUOUS if k else MISSING, hit, key)
+    a = Answer()
+    users = ctx.edges.join(hit.select(F.col("id").alias("dst")), "dst", "left_semi").join(ctx.nodes.select(F.col("id").alias("src"), "qn"), "src").select("qn", "edge_kind").distinct()
+    a.data["users"] = a.cap("users", users, 50, "edge_kind", "qn")
+    keys = ctx.options.get("keys")
+    if keys is not None:
+        a.data["keys"] = a.cap("keys", keys.where((F.lower("from_table") == key.lower()) | (F.lower("to_table") == key.lower())), 50, "from_table", "to_table")
+    return a
+
+
+@tool("entity_impact", shed=("links", "conditions"))
+def entity_impact(ctx: Context, key: str) -> Answer:
+    """What moves with an entity: mined sequences and conditions that name it
+    (`ctx.options["sequences"]`, `ctx.options["conditions"]`)."""
+    a = Answer()
+    for name, cols in (("sequences", ("before", "after")), ("conditions", ("target", "context"))):
+        rows = ctx.options.get(name)
+        if rows is not None:
+            of = rows.where((F.lower(cols[0]) == key.lower()) | (F.lower(cols[1]) == key.lower()))
+            a.data[name] = a.cap(name, of, 50, F.desc("support"), *cols)
+    return a if any(a.data.values()) else Answer(MISSING, a.data)
+
+
+def list_pages(pages: DataFrame, kind: str | None = None, prefix: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Pages of a type, or whose id begins so, in order of their ids."""
+    p = pages.where(F.col("type") == kind) if kind else pages
+    p = p.where(F.col("page_id").startswith(prefix)) if prefix else p
+    return p.orderBy("page_id").offset(max(0, offset)).limit(min(max(0, limit), 500))
+
+
+def list_annotations(annotations: DataFrame, nodes: DataFrame, target: str | None = None, kind: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
+    """Annotations, newest first, with `orphaned`: whether their symbol is gone."""
+    a = annotations
+    for column, value in (("target", target), ("kind", kind), ("status", status)):
+        a = a.where(F.col(column) == value) if value is not None else a
+    live = nodes.select(F.col("qn").alias("target"), F.lit(True).alias("_live")).distinct()
+    return a.join(live, "target", "left").select(*annotations.columns, F.col("_live").isNull().alias("orphaned")).orderBy(F.desc("id")).limit(limit)
+
+
+def answer_meta(answered: DataFrame, built: DataFrame, now: DataFrame, degraded: DataFrame | None = None) -> dict:
+    """Which of the files behind an answer (`file`) changed since they were read
+    (`file`, `hash`), and what the scan could not do: counts and the first few."""
+    from codestrata.operators.snapshots import drift
+
+    f = answered.select("file").distinct()
+    changed = drift(built.join(f, "file", "left_semi"), now, ["file"], "hash").where("state <> 'fresh'")
+    n = changed.count()
+    out = {"files": f.count(), "changed": n, "fresh": n == 0, "changed_files": [r.file for r in changed.orderBy("file").limit(20).collect()]}
+    if degraded is not None:
+        out["degraded"] = [f"{r.stage}: {r.kind} ({r.n})" for r in degraded.groupBy("stage", "kind").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "stage", "kind").limit(20).collect()]
+    return out
+
+
 KINDS = ("correction", "note", "question", "decision")
 STATUSES = ("proposed", "accepted", "rejected")
 

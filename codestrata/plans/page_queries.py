@@ -39,6 +39,11 @@ def flow_facts(spark: SparkSession, base: str) -> DataFrame:
     return p.select("page_id", *(F.get_json_object("facts", f"$.{k}").cast("long").alias(k) for k in ("steps", "depth", "stops")))
 
 
+def screen_facts(spark: SparkSession, base: str) -> DataFrame:
+    p = P.run_builders(_ctx(spark, base), ["screens"])
+    return p.select("page_id", *(F.get_json_object("facts", f"$.{k}").cast("long").alias(k) for k in ("calls", "entries")))
+
+
 def export_paths(spark: SparkSession, base: str) -> DataFrame:
     return sinks.markdown(P.run_builders(_ctx(spark, base), ["domains"])).select("path", F.length("body").alias("n"))
 
@@ -95,7 +100,7 @@ def window_sessions(spark: SparkSession, base: str) -> DataFrame:
 
 
 _W = f"WITH {R.NODES}, {R.EDGES}, {R.UNRESOLVED}"
-QUERIES = {f"pages_{n}": _pages(n) for n in P.BUILDERS} | {f.__name__: f for f in (page_facts, flow_facts, export_paths, first_writers, parsed_symbols, parsed_calls, stream_dedupe, window_tumbling, window_sliding, window_sessions)}
+QUERIES = {f"pages_{n}": _pages(n) for n in P.BUILDERS} | {f.__name__: f for f in (page_facts, flow_facts, screen_facts, export_paths, first_writers, parsed_symbols, parsed_calls, stream_dedupe, window_tumbling, window_sliding, window_sessions)}
 ORACLE = {
     "pages_overview": _W + " SELECT DISTINCT 'overview:' || scan_id AS page_id, 'overview' AS type, CAST(scan_id AS VARCHAR) AS title FROM n",
     "pages_modules": _W + ", f AS (SELECT DISTINCT scan_id, string_split(file_path, '/') AS p FROM n WHERE contains(file_path, '/')), d AS (SELECT DISTINCT scan_id, array_to_string(p[1:k], '/') AS dir FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f)) SELECT 'module:' || scan_id || '/' || dir AS page_id, 'module' AS type, dir AS title FROM d",
@@ -105,8 +110,14 @@ ORACLE = {
     "pages_domains": _W + " SELECT DISTINCT 'domain:' || scan_id || '/' || domain AS page_id, 'domain' AS type, domain AS title FROM n WHERE domain IS NOT NULL",
     "pages_flows": _W + " SELECT 'flow:' || scan_id || '/' || qn AS page_id, 'flow' AS type, name AS title FROM n WHERE node_type IN ('endpoint', 'batch_job', 'cli_command', 'event_consumer')",
     "pages_onboarding": _W + " SELECT 'onboarding:' || scan_id || '/' || domain AS page_id, 'onboarding' AS type, domain AS title FROM n WHERE domain IS NOT NULL GROUP BY scan_id, domain HAVING count(*) >= 3",
-    "pages_endpoints": _W + r""", x AS (SELECT *, regexp_extract(coalesce(annotations, ''), 'Route\(([^)]*)\)', 1) AS r FROM n WHERE node_type IN ('endpoint', 'batch_job')), y AS (SELECT *, count(*) OVER (PARTITION BY scan_id, node_type, r) AS k FROM x)
-SELECT node_type || ':' || scan_id || '/' || CASE WHEN r = '' OR k > 1 THEN qn ELSE r END AS page_id, node_type AS type, name AS title FROM y""",
+    "pages_endpoints": _W + r""", x AS (SELECT *, regexp_extract(coalesce(annotations, ''), 'Route\(([^)]*)\)', 1) AS r FROM n WHERE node_type = 'endpoint'), y AS (SELECT *, count(*) OVER (PARTITION BY scan_id, r) AS k FROM x)
+SELECT 'endpoint:' || scan_id || '/' || CASE WHEN r = '' OR k > 1 THEN qn ELSE r END AS page_id, 'endpoint' AS type, name AS title FROM y""",
+    "pages_batch_jobs": _W + " SELECT 'batch_job:' || scan_id || '/' || qn AS page_id, 'batch_job' AS type, name AS title FROM n WHERE node_type = 'batch_job'",
+    "pages_screens": _W + " SELECT 'screen:' || scan_id || '/' || qn AS page_id, 'screen' AS type, name AS title FROM n WHERE node_type = 'ui_component'",
+    "pages_entities": _W + " SELECT 'entity:' || scan_id || '/' || qn AS page_id, 'entity' AS type, name AS title FROM n WHERE node_type IN ('db_model', 'class')",
+    "pages_stored_procs": _W + " SELECT DISTINCT 'stored_proc:' || scan_id || '/' || p AS page_id, 'stored_proc' AS type, p AS title FROM (SELECT scan_id, lower(callee_name) AS p FROM e WHERE edge_kind = 'calls_proc' UNION SELECT scan_id, lower(name) FROM n WHERE node_type = 'stored_proc')",
+    "screen_facts": _W + """, x AS (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL AND src IS NOT NULL), y AS (SELECT src AS id, count(*) AS calls, count(*) FILTER (WHERE node_type IN ('endpoint', 'batch_job', 'cli_command', 'event_consumer')) AS entries FROM x JOIN n ON n.id = dst GROUP BY 1)
+SELECT 'screen:' || scan_id || '/' || qn AS page_id, coalesce(calls, 0) AS calls, coalesce(entries, 0) AS entries FROM n LEFT JOIN y USING (id) WHERE node_type = 'ui_component'""",
     "page_facts": _W + " SELECT 'domain:' || scan_id || '/' || domain AS page_id, count(*) AS symbols, count(*) FILTER (WHERE node_type IN ('endpoint', 'batch_job')) AS entries FROM n WHERE domain IS NOT NULL GROUP BY scan_id, domain",
     "first_writers": "WITH x AS (SELECT DISTINCT id, scan_id, qualified_name, file_path, line_start FROM code_nodes) SELECT scan_id, qualified_name, id FROM x QUALIFY row_number() OVER (PARTITION BY scan_id, qualified_name ORDER BY file_path, line_start NULLS LAST, id) = 1",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",

@@ -129,12 +129,56 @@ def symbols(ctx: Context) -> DataFrame:
     return j.select(*page("symbol", F.concat_ws("/", _scope(), "key"), F.col("name"), F.struct("qn", "node_type", "file_path", "callers", "callees")))
 
 
-@page_builder("endpoints", ("endpoint", "batch_job"))
+@page_builder("endpoints", ("endpoint",))
 def endpoints(ctx: Context) -> DataFrame:
-    n = ctx.nodes.where(F.col("node_type").isin("endpoint", "batch_job")).withColumn("route", F.regexp_extract(F.coalesce("annotations", F.lit("")), r"Route\(([^)]*)\)", 1))
-    same = F.count("*").over(W.partitionBy("scan_id", "node_type", "route")) > 1
+    n = ctx.nodes.where("node_type = 'endpoint'").withColumn("route", F.regexp_extract(F.coalesce("annotations", F.lit("")), r"Route\(([^)]*)\)", 1))
+    same = F.count("*").over(W.partitionBy("scan_id", "route")) > 1
     key = F.concat_ws("/", _scope(), F.when((F.col("route") == "") | same, F.col("qn")).otherwise(F.col("route")))
-    return n.select(page_id(F.col("node_type"), key).alias("page_id"), F.col("node_type").alias("type"), F.col("name").alias("title"), F.to_json(F.struct("route", F.col("qn").alias("handler"), "file_path")).alias("facts"), F.array().cast("array<string>").alias("links"))
+    return n.select(*page("endpoint", key, F.col("name"), F.struct("route", F.col("qn").alias("handler"), "file_path")))
+
+
+@page_builder("batch_jobs", ("batch_job",))
+def batch_jobs(ctx: Context) -> DataFrame:
+    """Jobs, with when they run as far as an annotation says so."""
+    said = F.regexp_extract(F.coalesce("annotations", F.lit("")), r"(?:Scheduled|Cron|Schedule|RecurringJob)\(([^)]*)\)", 1)
+    n = ctx.nodes.where("node_type = 'batch_job'")
+    return n.select(*page("batch_job", F.concat_ws("/", _scope(), "qn"), F.col("name"), F.struct(F.nullif(said, F.lit("")).alias("schedule"), F.col("qn").alias("handler"), "file_path")))
+
+
+@page_builder("screens", ("screen",))
+def screens(ctx: Context) -> DataFrame:
+    """Parts of the user interface, with what they call and the tables behind that."""
+    out = ctx.edges.where("dst is not null").select(F.col("src").alias("id"), "dst").distinct().join(ctx.nodes.select(F.col("id").alias("dst"), F.col("qn").alias("callee"), F.col("node_type").alias("t")), "dst")
+    per = out.groupBy("id").agg(F.count("*").alias("calls"), F.count_if(F.col("t").isin(O.ENTRY_KINDS)).alias("entries"), F.sort_array(F.collect_set(F.when(F.col("t") == "db_model", F.col("callee")))).alias("tables"))
+    n = ctx.nodes.where("node_type = 'ui_component'").join(per, "id", "left")
+    links = F.transform(F.coalesce("tables", F.array().cast("array<string>")), lambda t: page_id(F.lit("table"), F.concat_ws("/", _scope(), t)))
+    return n.select(*page("screen", F.concat_ws("/", _scope(), "qn"), F.col("name"), F.struct("file_path", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("entries", F.lit(0)).alias("entries"), "tables"), links))
+
+
+@page_builder("entities", ("entity",))
+def entities(ctx: Context) -> DataFrame:
+    """What is kept, with its state machine (`ctx.options["machines"]`: `entity`,
+    `states`, `n_moves`) where one was mined, and who writes it."""
+    machines = ctx.options.get("machines")
+    n = ctx.nodes.where(F.col("node_type").isin("db_model", "class"))
+    w = ctx.edges.where("edge_kind = 'writes_table' and dst is not null").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("writers"))
+    n = n.join(w, "id", "left")
+    if machines is None:
+        n = n.withColumns({"states": F.array().cast("array<string>"), "n_moves": F.lit(0).cast("long")})
+    else:
+        n = n.join(machines.select(F.col("entity").alias("qn"), "states", "n_moves"), "qn", "left")
+    return n.select(*page("entity", F.concat_ws("/", _scope(), "qn"), F.col("name"), F.struct("domain", "states", "n_moves", F.coalesce("writers", F.lit(0)).alias("writers"))))
+
+
+@page_builder("stored_procs", ("stored_proc",))
+def stored_procs(ctx: Context) -> DataFrame:
+    """Procedures that are called or defined, with their callers and their tables."""
+    called = ctx.edges.where("edge_kind = 'calls_proc'").select("scan_id", F.lower("callee_name").alias("proc"), F.col("src").alias("caller"), F.lit(False).alias("defined"))
+    defined = ctx.nodes.where("node_type = 'stored_proc'").select("scan_id", F.lower("name").alias("proc"), F.lit(None).cast("long").alias("caller"), F.lit(True).alias("defined"))
+    p = called.unionByName(defined).groupBy("scan_id", "proc").agg(F.count_distinct("caller").alias("callers"), F.bool_or("defined").alias("defined"))
+    own = ctx.nodes.where("node_type = 'stored_proc'").select(F.col("id").alias("src"), F.lower("name").alias("proc"))
+    t = ctx.edges.where("edge_kind in ('reads_table', 'writes_table')").join(own, "src").groupBy("scan_id", "proc").agg(F.sort_array(F.collect_set("callee_name")).alias("tables"))
+    return p.join(t, ["scan_id", "proc"], "left").select(*page("stored_proc", F.concat_ws("/", _scope(), "proc"), F.col("proc"), F.struct("callers", "defined", "tables")))
 
 
 @page_builder("tables", ("table",))
@@ -180,6 +224,13 @@ def injection_points(reads: DataFrame, writes: DataFrame) -> DataFrame:
     return reads.select("table").distinct().join(writes.select("table").distinct(), "table", "left_anti").withColumn("confidence", F.lit(0.8))
 
 
+def procedure_points(procedures: DataFrame, views: DataFrame, jobs: DataFrame) -> DataFrame:
+    """`table`, `kind`, `confidence`: other ways by which tables are filled:
+    procedures, views and jobs that import."""
+    kind = lambda df, name, c: df.select("table", F.lit(name).alias("kind"), F.lit(c).alias("confidence"))
+    return kind(procedures, "procedure", 0.6).unionByName(kind(views, "view", 0.5)).unionByName(kind(jobs.where(F.lower("job").rlike("import|load|sync|ingest|etl")), "import", 0.7)).distinct()
+
+
 def decision_table(conditions: DataFrame) -> DataFrame:
     """Markdown lines of a decision table per target of mined conditions."""
     rows = conditions.withColumn("k", F.row_number().over(W.partitionBy("target").orderBy("context", "state")))

@@ -60,6 +60,70 @@ def markdown(pages: DataFrame) -> DataFrame:
     return pages.select(F.regexp_replace(F.regexp_replace("page_id", ":", "/"), r"[^A-Za-z0-9._/@-]|\.\.", "_").alias("path"), body.alias("body"))
 
 
+def export_html(pages: DataFrame, root: str, title: str) -> None:
+    """A file per page, written where the rows are, and an index with the number
+    of pages of each type. Texts are escaped; links stay inside the export."""
+    name = lambda c: F.regexp_replace(F.regexp_replace(c, ":", "/"), r"[^A-Za-z0-9._/@-]|\.\.", "_")
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    up = F.repeat(F.lit("../"), F.size(F.split(name(F.col("page_id")), "/")) - 1)
+    links = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<li><a href="'), up, name(x), F.lit('.html">'), safe(x), F.lit("</a></li>"))), "")
+    body = F.concat(F.lit("<!doctype html><meta charset=utf-8><title>"), safe(F.col("title")), F.lit("</title><h1>"), safe(F.col("title")), F.lit("</h1><pre>"), safe(F.col("facts")), F.lit("</pre><ul>"), links, F.lit("</ul>"))
+    export_pages(pages.select(name(F.col("page_id")).alias("path"), body.alias("body")), root, ".html")
+    counts = pages.groupBy("type").agg(F.count("*").alias("n")).orderBy("type").collect()  # one row per type of page
+    esc = title.replace("&", "&amp;").replace("<", "&lt;")
+    with open(f"{root}/index.html", "w") as f:
+        f.write(f"<!doctype html><meta charset=utf-8><title>{esc}</title><h1>{esc}</h1><ul>" + "".join(f"<li>{r.type}: {r.n}</li>" for r in counts) + "</ul>")
+
+
+def export_machines(machines: DataFrame, path: str) -> None:
+    """State machines as JSON lines, by entity; sets are sorted, so equal machines give equal bytes."""
+    export_json(machines.withColumn("states", F.sort_array(F.array_distinct("states"))), path, ["entity"])
+
+
+def export_federation(parts: dict[str, DataFrame], root: str, order: dict[str, list[str]]) -> list[str]:
+    """Every part of a federation as a JSON export of its own; their paths."""
+    for name, df in parts.items():
+        export_json(df, f"{root}/{name}", order[name])
+    return [f"{root}/{name}" for name in parts]
+
+
+def record_call(path: str, entry: dict, largest: int = 5_000_000, keep: int = 5) -> None:
+    """Add one line to a ledger on the driver; a full file makes room by renaming."""
+    if os.path.exists(path) and os.path.getsize(path) >= largest:
+        for k in range(keep - 1, 0, -1):
+            if os.path.exists(f"{path}.{k}"):
+                os.replace(f"{path}.{k}", f"{path}.{k + 1}")
+        os.replace(path, f"{path}.1")
+    with open(path, "a") as f:
+        f.write(json.dumps(entry, sort_keys=True, default=str) + "\n")
+
+
+def merge_parses(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """A cache of parses with new ones: of a path, version and encoding the latest stays."""
+    both = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return first_per(both, ["path", "parser_version", "encoding"], F.desc("_new"), F.desc("content_hash")).drop("_new")
+
+
+def by_symbol(rows: DataFrame, nodes: DataFrame, scan_id: int) -> DataFrame:
+    """Rows about symbols (`qn`), summaries for instance, with the symbol's id
+    in a scan; those of unknown symbols are left out, one row per symbol stays."""
+    n = nodes.where(F.col("scan_id") == scan_id).groupBy("qn").agg(F.min("id").alias("node_id"))
+    one = first_per(rows, ["qn"], *[F.asc(c) for c in rows.columns if c != "qn"])
+    return one.join(n, "qn").withColumn("scan_id", F.lit(scan_id)).drop("qn")
+
+
+def phase_state(log: DataFrame) -> DataFrame:
+    """`scan_id`, `phase`, `status`, `at` of every phase, by the last line of its
+    log (`scan_id`, `phase`, `status`: started, complete or error, `at`)."""
+    return log.groupBy("scan_id", "phase").agg(F.max(F.struct("at", "status")).alias("s")).select("scan_id", "phase", "s.status", "s.at")
+
+
+def cost_rows(quotes: DataFrame, spent: DataFrame) -> DataFrame:
+    """`scan_id`, `quoted`, `decision`, `actual`, `within`: what a scan was quoted, and what its calls cost."""
+    a = spent.groupBy("scan_id").agg(F.round(F.sum("usd"), 6).alias("actual"))
+    return quotes.join(a, "scan_id", "left").select("scan_id", "quoted", "decision", "actual", F.col("actual").between(F.col("low"), F.col("high")).alias("within"))
+
+
 def to_push(pages: DataFrame, pushed: DataFrame, only_failed: bool = False) -> DataFrame:
     """Pages to deliver: new or changed since the last delivery, or only those that failed."""
     p = pages.withColumn("content_sha", F.sha2(F.concat_ws("\0", "page_id", "title", "facts"), 256))
