@@ -43,6 +43,11 @@ def p5_shared(spark: SparkSession, base: str) -> DataFrame:
     return spans.shared_amount(_current(spark, base), "id", "source_code")
 
 
+def p5_cleaned(spark: SparkSession, base: str) -> DataFrame:
+    """What is left of the texts that repeat others."""
+    return spans.without_repeats(_current(spark, base), "id", "source_code")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, base, "code_nodes")).select("scan_id", "file_path")
 
@@ -81,7 +86,7 @@ i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM
 dw AS (SELECT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) > 12)),
 iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) > 12))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_shared": p5_shared, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_shared": p5_shared, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {
     "p3_found": """
 SELECT DISTINCT 'node' AS rec_kind, id AS rec_id FROM code_nodes WHERE length(source_code) > 6000

@@ -240,16 +240,24 @@ def sharing_pairs(df: DataFrame, key: str, text: str, least: int = LEAST) -> Dat
     return apart.unionByName(alike)
 
 
+def _sides(spans: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """`cid`, `other`, `s`, `length`, `later` of both sides of every span: later
+    where the other text's least key is less."""
+    first = members.groupBy("cid").agg(F.min(key).alias("_f"))
+    both = spans.select(F.col("a").alias("cid"), F.col("b").alias("other"), F.col("start_a").alias("s"), "length").unionByName(spans.select(F.col("b").alias("cid"), F.col("a").alias("other"), F.col("start_b").alias("s"), "length"))
+    own, theirs = first.select("cid", F.col("_f").alias("_own")), first.select(F.col("cid").alias("other"), F.col("_f").alias("_theirs"))
+    return both.join(own, "cid").join(theirs, "other").select("cid", "other", "s", "length", (F.col("_theirs") < F.col("_own")).alias("later"))
+
+
 def shared_amount(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     """`key`, `n_chars`, `n_shared`, `n_later`, `n_partners` of every key whose
     text shares a span: how many of its characters also stand in another text,
-    how many of them stood in a text with a smaller class number before and
-    could be removed, and how many other texts share them. In a class of
-    copies every character is shared, and all but the least key are later."""
+    how many of them stand in one with a lesser key too and could be removed,
+    and how many other texts share them. In a class of copies every character
+    is shared, and all but the least key are later."""
     classes, members = text_classes(df, key, text, least)
-    spans = cut_lineage(shared_spans(classes, least))
-    sides = spans.select(F.col("a").alias("cid"), F.col("b").alias("other"), F.col("start_a").alias("s"), "length").unionByName(spans.select(F.col("b").alias("cid"), F.col("a").alias("other"), F.col("start_b").alias("s"), "length"))
-    covered = _union_length(sides, "n_shared").join(_union_length(sides.where("other < cid"), "n_later"), "cid", "left").join(sides.groupBy("cid").agg(F.count_distinct("other").alias("n_partners")), "cid")
+    sides = cut_lineage(_sides(cut_lineage(shared_spans(classes, least)), members, key))
+    covered = _union_length(sides, "n_shared").join(_union_length(sides.where("later"), "n_later"), "cid", "left").join(sides.groupBy("cid").agg(F.count_distinct("other").alias("n_partners")), "cid")
     sizes = members.groupBy("cid").agg(F.count("*").alias("copies"), F.min(key).alias("first"))
     base = members.join(sizes, "cid").join(classes.select("cid", F.char_length("text").alias("n_chars")), "cid").join(covered, "cid", "left").where((F.col("copies") > 1) | F.col("n_shared").isNotNull())
     again = (F.col("copies") > 1) & (F.col(key) != F.col("first"))
@@ -258,6 +266,55 @@ def shared_amount(df: DataFrame, key: str, text: str, least: int = LEAST) -> Dat
         F.when(again, F.col("n_chars")).otherwise(F.coalesce("n_later", F.lit(0))).cast("long").alias("n_later"), F.coalesce("n_partners", F.lit(0)).alias("n_partners"))
 
 
+def sentences(text: str) -> list[int]:
+    """Where the sentences of a text begin, and its end."""
+    chars = _chars(text)
+    at = np.arange(max(0, len(chars) - GRAM + 1))
+    inner = cuts(Hashes(chars).of(at, at + GRAM)) if len(at) else np.empty(0, np.int64)
+    return sorted({0, len(chars), *inner.tolist()})
+
+
+def without(text: str, islands: list[tuple[int, int]]) -> tuple[str, int]:
+    """A text without the sentences that lie whole in an island, which don't
+    overlap and are in order, and how many characters are gone."""
+    ends, out, k = sentences(text), [], 0
+    for a, b in zip(ends, ends[1:]):
+        while k < len(islands) and islands[k][1] < b:
+            k += 1
+        if k == len(islands) or not islands[k][0] <= a:
+            out.append(text[a:b])
+    kept = "".join(out)
+    return kept, len(text) - len(kept)
+
+
+def without_repeats(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+    """`key`, `kept`, `n_removed` of every key whose text loses something: each
+    sentence covered by a span that a text with a lesser key has too.
+
+    Of copies the least key keeps its text as far as it is new, the others
+    keep nothing. So every sentence of a repeated span stays in its first
+    text. Null and shorter texts, and those without repeats, give no row.
+    """
+    classes, members = text_classes(df, key, text, least)
+    later = _sides(cut_lineage(shared_spans(classes, least)), members, key).where("later")
+    order = W.partitionBy("cid").orderBy("s", "length")
+    before = F.max(F.col("s") + F.col("length")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = later.withColumn("_new", F.coalesce(F.col("s") > before, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    islands = runs.groupBy("cid", "_run").agg(F.min("s").alias("start"), F.max(F.col("s") + F.col("length")).alias("end"))
+    per = islands.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("islands"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [without(t, [(i["start"], i["end"]) for i in x]) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())], names=["cid", "kept", "n_removed"])
+
+    cut = classes.join(per, "cid").select("cid", "text", "islands").mapInArrow(run, "cid long, kept string, n_removed long")
+    first = members.groupBy("cid").agg(F.min(key).alias("_f"))
+    copies = members.join(first, "cid").where(F.col(key) != F.col("_f")).join(classes.select("cid", F.char_length("text").cast("long").alias("n_removed")), "cid").select(key, F.lit("").alias("kept"), "n_removed")
+    leads = first.select("cid", F.col("_f").alias(key)).join(cut, "cid").where("n_removed > 0").select(key, "kept", "n_removed")
+    return leads.unionByName(copies)
+
+
 def _union_length(sides: DataFrame, name: str) -> DataFrame:
     """Characters covered by the spans of each text, each counted once."""
     order = W.partitionBy("cid").orderBy("s")

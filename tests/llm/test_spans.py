@@ -66,3 +66,20 @@ def test_every_shared_stretch_holds_a_common_run():
         a, b = text(rng.randint(0, 300)) + core + text(rng.randint(0, 300)), text(rng.randint(0, 300)) + core + text(rng.randint(0, 300))
         runs = [set(h.tolist()) for t in (a, b) for _, _, h in S.runs_of([t])]
         assert runs[0] & runs[1]
+
+
+def test_repeats_are_removed_once(spark):
+    rows = cases()
+    by = {k: t for k, t in rows if t is not None}
+    got = {r.id: r for r in S.without_repeats(spark.createDataFrame([(k, t, 1) for k, t in rows], "id long, src string, cid int"), "id", "src").collect()}
+    for k, t in by.items():
+        lesser = [u for q, u in by.items() if q < k]
+        cover = {i for j in range(len(t) - 199) if any(t[j : j + 200] in u for u in lesser) for i in range(j, j + 200)}
+        ends = S.sentences(t)
+        kept = "".join(t[a:b] for a, b in zip(ends, ends[1:]) if not set(range(a, b)) <= cover)
+        if k in (40, 41):
+            kept = ""
+        assert (got[k].kept, got[k].n_removed) == (kept, len(t) - len(kept)) if k in got else kept == t, k
+    assert 1 not in got and got[41].n_removed == len(by[41]) and sum(r.n_removed > 100 for r in got.values()) > 8
+    assert S.without("", []) == ("", 0) and S.without("abc", [(0, 3)]) == ("", 3) and S.without("abc", [(0, 2)]) == ("abc", 0)
+    assert S.without_repeats(spark.createDataFrame([], "id long, src string"), "id", "src").count() == 0
