@@ -42,6 +42,14 @@ def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most_rows else kept
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with a partition for every core before heavy work on its rows. Only
+    for scans with projections and filters: their partitions are known without a
+    job. Tables of more partitions than cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for df in frames for c in df.columns}
