@@ -46,6 +46,8 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan with a partition for every core before heavy work on its rows. Only
     for scans with projections and filters: their partitions are known without a
     job. Tables of more partitions than cores stay as they are."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
