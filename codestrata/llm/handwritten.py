@@ -21,18 +21,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.runtime import cut_lineage
+from codestrata.runtime import cut_lineage, spread
 
 KINDS = ("generated", "vendored", "minified", "data")
 BITS = 18  # of the hash of a feature
-LOOKED_AT = 20_000  # records that are labelled, at most
+LOOKED_AT = 20_000  # records that are labelled, at most: of larger tables 19,000 are drawn on average, more than this once in 10 ** 12 times
 SAMPLE = 2_000  # labelled records per side that are trained on, at most
 HEADER_LINES = 6
 CHARS_AT_ONCE = 400_000
+KEPT_RECORDS = 300_000  # of which a task remembers what they are
 
 # How tools begin the comment that says a file is theirs.
 _MARK = r"^\s*(?:/\*+!?|//+!?|#+!?|\*|<!--|--|;+|%|'|\(\*)?\s*"
@@ -137,7 +139,12 @@ _CONFIG = re.compile(r"\.(?:json|ya?ml|xml|config|env|properties|toml|ini|cfg|co
 
 def label(path: str | None, text: str | None, body: bool = True) -> set[str]:
     """The kinds whose signs a record bears; without `body` the text's shape isn't looked at."""
-    out, head = signs_beside_header(path, text, body), opening(text or "")
+    return signs_beside_header(path, text, body) | header_signs(text)
+
+
+def header_signs(text: str | None) -> set[str]:
+    """The kinds that a text's comments say it is of."""
+    out, head = set(), opening(text or "")
     if GENERATED_HEADER.search(head) or any(OF_FILES.match(x) for _, _, x in comments(text or "")):
         out.add("generated")
     if VENDORED_HEADER.search(head):
@@ -358,15 +365,19 @@ def sample(nodes: DataFrame, repository: str, looked_at: int = LOOKED_AT, size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = [sorted(label(p, t)) for p, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.list_(pa.string()))], names=["repository", "file_path", "language", "text", "h", "kinds"])
+            bare = [signs_beside_header(p, t) for p, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+            kinds = [x | header_signs(t) for x, t in zip(bare, b.column(3).to_pylist())]
+            told = [pa.array([sorted(x) for x in y], pa.list_(pa.string())) for y in (kinds, bare)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *told], names=["repository", "file_path", "language", "text", "h", "kinds", "bare"])
 
     rows = nodes.select(F.col(repository).cast("string").alias("repository"), "file_path", "language", F.col("source_code").alias("text"))
-    # A draw by row number, not by content: copies of one record can't fill it. About a tenth more than asked for is drawn before the sort.
-    share = min(1.0, 1.1 * looked_at / max(1, nodes.count()))
-    drawn = rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id())).where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
-    some = drawn.orderBy("h").limit(looked_at)
-    labelled = some.repartition(12).mapInArrow(run, "repository string, file_path string, language string, text string, h long, kinds array<string>")
+    rows = spread(rows)
+    # A draw by row number, not by content: copies of one record can't fill it. Each task draws its own rows, nothing is gathered.
+    share = min(1.0, 0.95 * looked_at / max(1, nodes.count()))
+    drawn = rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
+    if share < 1:
+        drawn = drawn.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1))))
+    labelled = drawn.mapInArrow(run, "repository string, file_path string, language string, text string, h long, kinds array<string>, bare array<string>")
     kept = cut_lineage(labelled)
     marked, plain = kept.where(F.size("kinds") > 0), kept.where(F.size("kinds") == 0)
     return marked.orderBy("h").limit(size).unionByName(plain.orderBy("h").limit(size))
@@ -382,8 +393,8 @@ class Model:
     report: dict[str, dict[str, float]]  # precision and recall on projects kept apart
 
 
-def fit(paths: list, languages: list, texts: list, kinds: list, repositories: list, validate: bool = True) -> Model:
-    """Train all classifiers, on the records as they are and once more without
+def fit(paths: list, languages: list, texts: list, kinds: list, repositories: list, validate: bool = True, only: str | None = None, bare: list | None = None) -> Model:
+    """Train all classifiers, or `only` one, on the records as they are and once more without
     their openings, as far as body or path bear a sign too. A fifth of the
     projects is kept apart for the report; the classifiers handed out are
     trained on all."""
@@ -393,7 +404,7 @@ def fit(paths: list, languages: list, texts: list, kinds: list, repositories: li
     if not n:
         return Model(weights, biases, report)
     as_is = np.array([[k in row for k in KINDS] for row in kinds], bool)
-    bare = [signs_beside_header(p, t) for p, t in zip(paths, texts)]
+    bare = bare or [signs_beside_header(p, t) for p, t in zip(paths, texts)]
     without = np.array([[k in row for k in KINDS] for row in bare], bool)
     heads, rests = zip(*(features(paths[i:j], languages[i:j], texts[i:j], True) for i, j in blocks(np.array([len(t or "") for t in texts]))))
     head, rest = _stacked(list(heads)), _stacked(list(rests))
@@ -402,7 +413,7 @@ def fit(paths: list, languages: list, texts: list, kinds: list, repositories: li
     wanted = np.concatenate([as_is, without[second]])
     apart = np.array([_number(str(r)) % 5 == 0 for r in repositories], bool)
     for i, kind in enumerate(KINDS):
-        if not as_is[:, i].any():
+        if not as_is[:, i].any() or only not in (None, kind):
             continue
         if validate and apart.any() and as_is[~apart, i].any():
             keep = ~apart[at]
@@ -415,18 +426,26 @@ def fit(paths: list, languages: list, texts: list, kinds: list, repositories: li
 
 
 def trained(nodes: DataFrame, repository: str = "scan_id", validate: bool = False) -> Model:
-    """A model for these records, trained by one task on at most 2 * SAMPLE of
-    them. Only the weights come to the driver: one array of 2 ** BITS a kind."""
+    """A model for these records, trained by one task per kind on at most
+    2 * SAMPLE of them. Only the weights come to the driver: one array of
+    2 ** BITS a kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches, schema=None).to_pydict() if (batches := list(batches)) else {k: [] for k in ("file_path", "language", "text", "kinds", "repository")}
-        model = fit(t["file_path"], t["language"], t["text"], t["kinds"], t["repository"], validate)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.biases.tobytes()]), pa.array([json.dumps(model.report)])], names=["weights", "biases", "report"])
-
-    row = sample(nodes, repository).repartition(1).mapInArrow(run, "weights binary, biases binary, report string").first()
-    if row is None:
-        return fit([], [], [], [], [])
-    return Model(np.frombuffer(row[0], np.float32).reshape(len(KINDS), -1), np.frombuffer(row[1]), json.loads(row[2]))
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        whole = pa.Table.from_batches(batches)
+        for which in sorted(set(whole.column("which").to_pylist())):
+            t = whole.filter(pc.equal(whole.column("which"), which)).to_pydict()
+            model = fit(t["file_path"], t["language"], t["text"], t["kinds"], t["repository"], validate, KINDS[which], t["bare"])
+            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([model.weights[which].tobytes()]), pa.array([float(model.biases[which])]), pa.array([json.dumps(model.report)])], names=["which", "weights", "bias", "report"])
+
+    each = sample(nodes, repository).withColumn("which", F.explode(F.array(*map(F.lit, range(len(KINDS))))))
+    rows = each.repartitionByRange(len(KINDS), "which").mapInArrow(run, "which int, weights binary, bias double, report string").collect()  # a row per kind
+    out = fit([], [], [], [], [])
+    for r in rows:
+        out.weights[r.which], out.biases[r.which] = np.frombuffer(r.weights, np.float32), r.bias
+        out.report.update(json.loads(r.report))
+    return out
 
 
 def margins(nodes: DataFrame, keys: list[str], model: Model) -> DataFrame:
@@ -438,17 +457,22 @@ def margins(nodes: DataFrame, keys: list[str], model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, biases = shared.value
+        kept: dict[bytes, np.ndarray | None] = {}  # what copies of a record are of is found once
         for b in batches:
-            sizes = np.fromiter((len(x.as_py() or "") for x in b.column(width + 2)), np.int64, b.num_rows)
-            for i, j in blocks(sizes):
-                part = b.slice(i, j - i)
-                columns = [part.column(width + k).to_pylist() for k in range(3)]
-                m = settle(score(*columns, weights, biases), columns[0], columns[2])
-                hit = np.flatnonzero((m > 0).any(1))
-                kept = part.take(pa.array(hit))
-                yield pa.RecordBatch.from_arrays([*kept.columns[:width], pa.array([list(map(float, x)) for x in m[hit]], pa.list_(pa.float64()))], names=[*keys, "margins"])
-
-    picked = nodes.select(*keys, F.col("file_path").alias("_p"), F.col("language").alias("_l"), F.col("source_code").alias("_t"))
+            columns = [b.column(width + k).to_pylist() for k in range(3)]
+            prints = [xxhash.xxh3_128_digest("\0".join(x or "" for x in row).encode("utf-8", "surrogatepass")) for row in zip(*columns)]
+            new = list({p: i for i, p in enumerate(prints) if p not in kept}.values())
+            for x, y in blocks(np.array([len(columns[2][i] or "") for i in new], np.int64)):
+                part = [[c[i] for i in new[x:y]] for c in columns]
+                m = settle(score(*part, weights, biases), part[0], part[2])
+                kept.update((prints[i], row if (row > 0).any() else None) for i, row in zip(new[x:y], m))
+            hit = [i for i, p in enumerate(prints) if kept[p] is not None]
+            part = b.take(pa.array(hit, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array([list(map(float, kept[prints[i]])) for i in hit], pa.list_(pa.float64()))], names=[*keys, "margins"])
+            if len(kept) > KEPT_RECORDS:
+                kept.clear()
+
+    picked = spread(nodes.select(*keys, F.col("file_path").alias("_p"), F.col("language").alias("_l"), F.col("source_code").alias("_t")))
     return picked.mapInArrow(run, f"{kinds}, margins array<double>")
 
 
