@@ -20,9 +20,12 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.runtime import spread
+
 # What names a secret, as the end of a name in lower case without separators.
 SECRET_ENDS = (
     "password", "passwd", "passwort", "kennwort", "passphrase", "passcode", "pwd", "secret", "token", "credential", "credentials", "cred", "creds",
@@ -84,6 +87,7 @@ MARKUP = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]+)</\1>")
 XML_ADD = re.compile(r"(?:key|name|id)\s*=\s*\"([^\"]+)\"\s+value\s*=\s*\"([^\"]*)\"")
 _WORDS = re.compile(r"[A-ZÀ-Þ]+(?![a-zß-ÿ])|[A-ZÀ-Þ]?[^\W\d_A-ZÀ-Þ]+|\d+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+KEPT_TEXTS = 300_000  # whose secrets a task remembers
 FAR, NEAR = 600, 300  # a line of more than twice FAR characters is also read anew this near to every word, in case a stray quote misleads the reading from its start
 
 
@@ -448,13 +452,21 @@ def scan(df: DataFrame, keys: list[str], text: str, with_text: bool = False) ->
         if not _FINDER:
             _FINDER.append(Finder())
         find = _FINDER[0].find
+        kept: dict[bytes, list[tuple[int, int]]] = {}  # copies of a text are read once
         for b in batches:
-            texts = b.column(b.num_columns - 1)
             hit, found = [], []
-            for i in range(b.num_rows):
-                if spans := find(texts[i].as_py()):
+            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if not t:
+                    continue
+                mark = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+                spans = kept.get(mark)
+                if spans is None:
+                    spans = kept[mark] = find(t)
+                if spans:
                     hit.append(i)
                     found.append(spans)
+            if len(kept) > KEPT_TEXTS:
+                kept.clear()
             part = b.take(pa.array(hit, pa.int64()))
             out = [*part.columns[:-1], pa.array([[{"start": x, "end": y} for x, y in s] for s in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             names = [*keys, "spans"]
@@ -463,7 +475,7 @@ def scan(df: DataFrame, keys: list[str], text: str, with_text: bool = False) ->
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, spans array<struct<start:int,end:int>>" + (", redacted string" if with_text else ""))
+    return spread(df.select(*keys, F.col(text).alias("_text"))).mapInArrow(run, f"{kinds}, spans array<struct<start:int,end:int>>" + (", redacted string" if with_text else ""))
 
 
 def scan_records(nodes: DataFrame, chunks: DataFrame, with_text: bool = False) -> DataFrame:
