@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from codestrata.runtime import spread
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value of this tokenizer
 KEPT_PIECES = 400_000  # entries of a worker's memory of pieces; when full it starts anew
 KEPT_BYTES = 64  # longer pieces are encoded each time
@@ -111,9 +113,10 @@ _ENCODERS: dict[tuple[int, str], Encoder] = {}
 def encode_table(df: DataFrame, key: str, text: str, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
     """`key`, `ids` of every row: one list of ids per row, none for null and
     empty texts, repeated rows as often as they come. Only the two columns are
-    read, and nothing is shuffled. `vocabulary` is the path of the .tiktoken
+    read, and nothing else is shuffled. `vocabulary` is the path of the .tiktoken
     file on the driver; its content (a vocabulary, under 1 MB) goes to the
-    workers by broadcast.
+    workers by broadcast. A scan of fewer
+    partitions than cores is spread first.
     """
     data = Path(vocabulary).read_bytes()
     shared = df.sparkSession.sparkContext.broadcast(data)
@@ -131,4 +134,4 @@ def encode_table(df: DataFrame, key: str, text: str, vocabulary: str, pattern: s
                 flat = np.fromiter((x for row in ids for x in row), dtype=np.int32, count=int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

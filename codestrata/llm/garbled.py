@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.runtime import cut_lineage, small_side
+from codestrata.runtime import cut_lineage, small_side, spread
 
 # Encodings that texts get read in by mistake, likeliest first.
 SINGLE_BYTE = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "iso8859_2"]
@@ -249,7 +249,7 @@ def inspect(df: DataFrame, key: str, text: str) -> DataFrame:
                 left.append(words(new))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(lost, pa.bool_()), pa.array(left, pa.list_(pa.string()))], names=[key, "copy", "n_spans", "lost", "words"])
 
-    return df.select(key, F.xxhash64(text).alias("copy"), text).mapInArrow(run, f"`{key}` {kind}, copy long, n_spans int, lost boolean, words array<string>")
+    return spread(df.select(key, F.xxhash64(text).alias("copy"), text)).mapInArrow(run, f"`{key}` {kind}, copy long, n_spans int, lost boolean, words array<string>")
 
 
 SHARE = 4  # a word is taken for another one that stands in so many times as many documents

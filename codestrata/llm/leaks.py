@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codestrata.runtime import spread
+
 SPAN = 13  # words of a window
 # Positions looked at. Together they find every window with at most two words replaced.
 MASKS = ["1110000001111", "1001011011010", "0010101110110", "1100101110001", "0111010010101", "0101110001011", "1011110100100"]
@@ -118,7 +120,7 @@ def hits(corpus: DataFrame, items: DataFrame, key: str, item_key: str, text: str
     if len(few) <= BROADCAST_ROWS:
         wanted = spark.sparkContext.broadcast(np.unique(few))
         item_side = F.broadcast(item_side)
-    found = seeds(corpus, key, text, wanted, masks).join(item_side, ["seed", "mask"])
+    found = seeds(spread(corpus.select(key, text)), key, text, wanted, masks).join(item_side, ["seed", "mask"])
     differ = F.aggregate(F.zip_with("window", "item_window", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
     near = found.select(key, item_key, "pos", "item_pos", differ.alias("different")).where(F.col("different") <= MOST_DIFFERENT)
     return near.distinct()
