@@ -1 +1 @@
-"""See the package README section for the modules in here."""
+"""Scalar functions for SQL; as columns they stand beside the operators that use them."""

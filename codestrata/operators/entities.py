@@ -153,6 +153,17 @@ def federated(machines: DataFrame, threshold: float = 0.7) -> DataFrame:
     return out if out is not None else machines.select("stem", "repo", "entity", F.lit(0).alias("group")).limit(0)
 
 
+def merge_federated(machines: DataFrame, groups: DataFrame) -> DataFrame:
+    """`stem`, `group`, `states`, `confidence`, `origins`: each group of
+    federated() as one machine with all states, the least confidence, and a map
+    of repository to entity. Of several entities of a repository the first counts."""
+    j = groups.join(machines, ["stem", "repo", "entity"])
+    states = j.select("stem", "group", F.explode_outer("states").alias("s")).distinct().groupBy("stem", "group").agg(F.sort_array(F.collect_list("s")).alias("states"))
+    one = j.groupBy("stem", "group", "repo").agg(F.min("entity").alias("entity"), F.min("confidence").alias("c"))
+    who = one.groupBy("stem", "group").agg(F.min("c").alias("confidence"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("repo", "entity")))).alias("origins"))
+    return states.join(who, ["stem", "group"])
+
+
 def merge_links(links: DataFrame, key: list[str]) -> DataFrame:
     """Of mined links found in several repositories the one with the most support; the first of equals."""
     k = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("support"), "repo"))

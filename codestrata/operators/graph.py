@@ -189,6 +189,26 @@ def slices(nodes: DataFrame, edges: DataFrame, entries: DataFrame, depth: int =
     return full.select("entry", "id", "depth", stop.alias("stop"))
 
 
+def leaf_reasons(slices: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """The rows of slices() where `stop` of a leaf with calls that were not
+    resolved (`caller_id`, `reason`) says so: dynamic ones first, then calls to
+    systems outside, then others."""
+    rank = F.min(F.when(F.col("reason") == "dynamic", 0).when(F.col("reason") == "external", 1).otherwise(2))
+    u = unresolved.where("caller_id is not null").groupBy(F.col("caller_id").alias("id")).agg(rank.alias("_r"))
+    leaf = F.when(F.col("_r") == 0, "dynamic_dispatch").when(F.col("_r") == 1, "external_boundary").when(F.col("_r") == 2, "unresolved_call").otherwise(F.col("stop"))
+    return slices.join(u, "id", "left").select("entry", "id", "depth", F.when(F.col("stop") == "leaf_no_callees", leaf).otherwise(F.col("stop")).alias("stop"))
+
+
+def unresolved_unknowns(nodes: DataFrame, unresolved: DataFrame, reached: DataFrame) -> DataFrame:
+    """`caller_id`, `callee_name`, `reason`: calls by the name of something reached
+    that were not resolved, so they may reach it too. Builtins and systems
+    outside are none; callers that are reached anyway add nothing."""
+    names = reached.select("id").join(nodes.select("id", "name"), "id").select(F.col("name").alias("_n")).distinct()
+    u = unresolved.where(~F.col("reason").isin("builtin", "external")).withColumn("_n", F.regexp_extract("callee_name", r"([^.]+)$", 1))
+    hit = u.join(names, "_n", "left_semi")
+    return hit.join(reached.select(F.col("id").alias("caller_id")), "caller_id", "left_anti").select("caller_id", "callee_name", "reason").distinct()
+
+
 def entry_links(edges: DataFrame, starts: DataFrame, entries: DataFrame, depth: int = HOPS) -> DataFrame:
     """`start`, `entry`, `hops`, `confidence`: the entry points from which a
     start is reached backwards, with the fewest hops and, over these, the

@@ -176,6 +176,13 @@ def set_scores(found: DataFrame, wanted: DataFrame, group: list[str], item: str)
     return out.withColumn("f1", F.round(F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0), 6)).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
+def verdicts(claims: DataFrame, key: list[str]) -> DataFrame:
+    """`key`, counts of claims (`verdict`) that were verified, unverified and
+    contradicted, and the share verified of those decided; 1 without any."""
+    n = claims.groupBy(*key).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("verified", "unverified", "contradicted")])
+    return n.withColumn("share", F.coalesce(F.try_divide(F.col("verified"), F.col("verified") + F.col("contradicted")), F.lit(1.0)))
+
+
 def blend_confidence(n_verified: Column, n_claims_ok: Column, n_unsure: Column, n_total: Column) -> Column:
     """Verified rows and claims count 1, unsure claims a half; 0.3 without any."""
     return F.when(n_verified + n_total == 0, 0.3).otherwise((n_verified + n_claims_ok + 0.5 * n_unsure) / (n_verified + n_total))

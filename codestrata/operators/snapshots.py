@@ -99,6 +99,12 @@ class RunLock:
         os.unlink(self.path)
 
 
+def newest_indexed(scans: DataFrame, edges: DataFrame, commit: str | None = None) -> DataFrame:
+    """`project_slug`, `scan_id`: of every project the newest scan that has a graph, of a commit if one is asked for."""
+    s = scans.where(F.col("commit_sha") == commit) if commit else scans
+    return s.join(edges.select(F.col("scan_id").alias("id")).distinct(), "id", "left_semi").groupBy("project_slug").agg(F.max("id").alias("scan_id"))
+
+
 def cached_answers(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (`key` and more) with the last answer kept for their key, and those without one."""
     last = cache.groupBy("key").agg(F.max(F.struct("at", "answer")).alias("_a")).select("key", F.col("_a.answer").alias("answer"))

@@ -118,6 +118,14 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     return parts.select(key, "pos", F.trim(heading).alias("heading"), F.trim(body).alias("body")).where("heading <> '' or body <> ''")
 
 
+def facts_text(facts: Column) -> Column:
+    """The values of a JSON text, strings, numbers and nested ones, without its
+    keys, as words for the index. Null and broken texts give an empty one."""
+    bare = F.regexp_replace(facts, r'"(?:[^"\\]|\\.)*+"\s*:', " ")
+    values = F.regexp_extract_all(bare, F.lit(r'"(?:[^"\\]|\\.)*+"|-?\d+(?:\.\d+)?(?=\s*[,}\]])'), F.lit(0))
+    return F.coalesce(F.array_join(F.transform(values, lambda v: F.regexp_replace(F.regexp_replace(v, r'^"|"$', ""), r'\\(["\\/])', "$1")), " "), F.lit(""))
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor(F.coalesce(F.char_length(text), F.lit(0)) / 4)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +17,19 @@ def knn(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5)
     """`query`, `key`, `distance`, `rank`: the k rows nearest to every query by
     Euclidean distance, ties by key.
 
-    Queries are a stated set: they go to the workers in blocks of
-    BLOCK_QUERIES, and every partition keeps its k best a query, so what is
+    Queries are a stated set: they go to the workers in blocks of about
+    BLOCK_QUERIES, by a hash of their key, and every partition keeps its k best a query, so what is
     shuffled grows with partitions, not with pairs. Rows whose vector is null
     or of another length than the query's are no neighbours. A query that is a
     row itself finds itself first.
     """
     kind = rows.schema[key].dataType.simpleString()
-    q = queries.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).toArrow()
+    q = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    n_blocks = -(-q.count() // BLOCK_QUERIES) or 1
     out = None
-    for at in range(0, max(1, q.num_rows), BLOCK_QUERIES):
-        part = q.slice(at, BLOCK_QUERIES)
+    for at in range(n_blocks):
+        # One block of queries at a time is on the driver.
+        part = q.where(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == at).toArrow()
         shared = rows.sparkSession.sparkContext.broadcast((part.column(0).to_pylist(), part.column(1).to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -78,6 +80,42 @@ def vector_delta(stored: DataFrame, wanted: DataFrame, hash_column: str) -> Data
     )
 
 
+def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray], dim: int, at_once: int = 256) -> DataFrame:
+    """`key`, `vector` of every row by an embedder (texts to rows of `dim`
+    numbers), called with a few texts at a time on the executors. Null texts
+    have no vector; an embedder that answers with another shape is an error."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, at_once):
+                part = b.slice(i, at_once)
+                texts = part.column(1).to_pylist()
+                told = [t for t in texts if t is not None]
+                v = np.asarray(embedder(told), np.float32).reshape(-1, dim) if told else np.empty((0, dim), np.float32)
+                if len(v) != len(told):
+                    raise ValueError(f"{len(told)} texts, {len(v)} vectors")
+                each = iter(v)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else next(each) for t in texts], pa.list_(pa.float32()))], names=[key, "vector"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, vector array<float>")
+
+
+def hashed_words(texts: list[str], dim: int = 64) -> np.ndarray:
+    """Vectors by which texts of the same words are near: an embedder that needs no model."""
+    import re
+
+    import xxhash
+
+    out = np.zeros((len(texts), dim), np.float32)
+    for row, t in zip(out, texts):
+        for w in re.findall(r"\w+", t.lower()):
+            h = xxhash.xxh64_intdigest(w)
+            row[h % dim] += 1.0 if h >> 63 else -1.0
+        row /= np.linalg.norm(row) or 1.0
+    return out
+
+
 def check_embedder(pinned: dict, model: str, dim: int) -> None:
     """Raise if a store was filled by another model or with another length."""
     if pinned and (pinned.get("model"), pinned.get("dim")) != (model, dim):

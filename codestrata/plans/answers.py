@@ -144,6 +144,8 @@ def impact_of(ctx: Context, seeds: DataFrame, depth: int = graph.DEPTH, max_item
     reached, unknowns = graph.impact_levels(ctx.nodes, ctx.edges, seeds, depth)
     items = graph.impact_items(ctx.nodes, reached).unionByName(graph.written_tables(ctx.nodes, ctx.edges, reached))
     a.data["items"] = a.cap("items", items.drop("parent"), min(max_items, 100), F.desc("score"), "depth", "node", "id")
+    calls = graph.unresolved_unknowns(ctx.nodes, ctx.unresolved, reached).select(F.concat(F.lit("unresolved_call: "), "reason").alias("kind"), F.col("caller_id").alias("where_id"), F.lit(None).cast("long").alias("to_id"))
+    unknowns = unknowns.unionByName(calls).distinct()
     a.data["unknowns"] = a.cap("unknowns", unknowns, graph.UNKNOWNS, "kind", "where_id", "to_id")
     a.data["by_kind"] = {r.kind: r.n for r in items.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     return a

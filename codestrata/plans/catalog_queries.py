@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import catalog as C
-from codestrata.operators import graph
+from codestrata.operators import entities, graph, snapshots, vectors
 from codestrata.operators import hierarchy as H
 from codestrata.plans import pages as P
 from codestrata.plans import relations as R
@@ -167,9 +167,54 @@ def main_successors(spark: SparkSession, base: str) -> DataFrame:
     return C.successors(graph.trusted(R.edges(spark, base)), signal)
 
 
+def slice_ends(spark: SparkSession, base: str) -> DataFrame:
+    """Why flows end, with calls that were not resolved."""
+    return graph.leaf_reasons(_slices(spark, base), R.unresolved(spark, base)).where("stop is not null").groupBy("stop").agg(F.count("*").alias("n"))
+
+
+def impact_unresolved(spark: SparkSession, base: str) -> DataFrame:
+    n, _, reached, _ = _impact(spark, base)
+    return graph.unresolved_unknowns(n, R.unresolved(spark, base), reached)
+
+
+def indexed_scans(spark: SparkSession, base: str) -> DataFrame:
+    from codestrata.operators.manifest_delta import latest_state
+
+    s = latest_state(table(spark, base, "scan_runs").select("id", "project_slug", "commit_sha", "recorded_at"), "id", "recorded_at")
+    return snapshots.newest_indexed(s, table(spark, base, "call_edges"))
+
+
+def node_lists(spark: SparkSession, base: str) -> DataFrame:
+    n = R.rehydrated(R.nodes(spark, base))
+    return n.select("id", F.size("params").cast("long").alias("n_params"), F.try_element_at("annotations", F.lit(1)).alias("annotation"))
+
+
+def federated_merge(spark: SparkSession, base: str) -> DataFrame:
+    """The machines of federated_groups, each group as one."""
+    n = R.nodes(spark, base).where("domain is not null")
+    m = n.groupBy(F.col("domain").alias("stem"), F.col("scan_id").cast("string").alias("repo"), F.col("file_path").alias("entity")).agg(F.sort_array(F.collect_set("node_type")).alias("states"), (F.count("*") / (F.count("*") + 1)).alias("confidence"))
+    g = entities.merge_federated(m, entities.federated(m))
+    return g.select("stem", "group", F.array_join("states", ",").alias("states"), F.round("confidence", 6).alias("confidence"), F.size("origins").cast("long").alias("n_repos"))
+
+
+def domain_precision(spark: SparkSession, base: str) -> DataFrame:
+    """Share of sure edges per origin with bounds, by the engine's SQL functions."""
+    from codestrata.functions import sql as functions
+
+    functions.register(spark)
+    R.edges(spark, base).createOrReplaceTempView("_precision_edges")
+    return spark.sql("SELECT origin, n, round(wilson_low(k, n), 6) AS low, round(wilson_high(k, n), 6) AS high FROM (SELECT origin, count(*) AS n, count_if(confidence >= 0.8) AS k FROM _precision_edges GROUP BY origin)")
+
+
+def document_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """Vectors of titles by hashed words: how many there are, and of which length."""
+    v = vectors.embed(table(spark, base, "documents"), "doc_id", "title", vectors.hashed_words, 64)
+    return v.groupBy(F.size("vector").cast("long").alias("dim")).agg(F.count("*").alias("n"))
+
+
 _W = f"WITH {R.NODES}, {R.EDGES}, {R.UNRESOLVED}"
 _DOC = "(SELECT DISTINCT scan_id, file_path, qualified_name, domain, chunk_id FROM discovery_chunk_meta WHERE scan_id IN (SELECT scan_id FROM current_scan))"
-_ALL = (impact_paths, call_paths_all, folder_ancestors, page_parents, route_menu, common_roots, flow_caps, domain_tours, domain_groups, dependency_catalog, flow_touches, symbol_flows, flow_log, model_names, canonical_models, state_subsets, graded_now, scan_file_scores, forbidden_calls, symbols_missing, offered_routes, renamed_notes, domain_services, main_successors)
+_ALL = (impact_paths, call_paths_all, folder_ancestors, page_parents, route_menu, common_roots, flow_caps, domain_tours, domain_groups, dependency_catalog, flow_touches, symbol_flows, flow_log, model_names, canonical_models, state_subsets, graded_now, scan_file_scores, forbidden_calls, symbols_missing, offered_routes, renamed_notes, domain_services, main_successors, slice_ends, impact_unresolved, indexed_scans, node_lists, federated_merge, domain_precision, document_vectors)
 QUERIES = {f.__name__: f for f in _ALL}
 _STOPS = _SLICES + """, o2 AS (SELECT src AS id, count(*) AS k FROM tn GROUP BY 1), ch AS (SELECT DISTINCT a.entry, a.id FROM sl a JOIN tn ON tn.src = a.id JOIN sl b ON b.entry = a.entry AND b.id = tn.dst AND b.depth = a.depth + 1)"""
 ORACLE = {
@@ -204,6 +249,15 @@ j AS (SELECT coalesce(c.task, t.task) AS task, c.file AS a, t.file AS b FROM c F
 p AS (SELECT * FROM (SELECT id, lead(id) OVER (PARTITION BY project_slug, branch ORDER BY started_at) AS target FROM done) WHERE target IS NOT NULL), w AS (SELECT id, target, 1 AS hops FROM p UNION ALL SELECT w.id, p.target, hops + 1 FROM w JOIN p ON w.target = p.id WHERE hops < 40),
 e AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops DESC) = 1) SELECT coalesce(e.target, d.scan_id) AS anchor, doc_id FROM documents d LEFT JOIN e ON e.id = d.scan_id WHERE d.scan_id IS NOT NULL AND coalesce(e.target, d.scan_id) IN (SELECT scan_id FROM current_scan)""",
     "domain_services": _W + ", x AS (SELECT DISTINCT n.id AS entity, src AS r FROM e JOIN n ON n.id = dst WHERE node_type = 'db_model' AND src IS NOT NULL), y AS (SELECT DISTINCT src, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL) SELECT entity, count(DISTINCT r) AS n_repositories, count(DISTINCT y.src) AS n_services FROM x LEFT JOIN y ON y.dst = r GROUP BY entity",
+    "slice_ends": _STOPS + """, ur AS (SELECT caller_id AS id, min(CASE reason WHEN 'dynamic' THEN 0 WHEN 'external' THEN 1 ELSE 2 END) AS r FROM unresolved_calls WHERE scan_id IN (SELECT scan_id FROM current_scan) AND caller_id IS NOT NULL GROUP BY 1),
+z AS (SELECT CASE WHEN node_type = 'external_system' THEN 'external_boundary' WHEN node_type = 'db_model' THEN 'db_boundary' WHEN k IS NULL THEN CASE r WHEN 0 THEN 'dynamic_dispatch' WHEN 1 THEN 'external_boundary' WHEN 2 THEN 'unresolved_call' ELSE 'leaf_no_callees' END WHEN sl.depth >= 8 THEN 'depth_cap' ELSE 'cycle' END AS stop
+  FROM sl ANTI JOIN ch USING (entry, id) LEFT JOIN o2 USING (id) LEFT JOIN n ON n.id = sl.id LEFT JOIN ur ON ur.id = sl.id) SELECT stop, count(*) AS n FROM z GROUP BY stop""",
+    "impact_unresolved": _LEVELS + """, re AS (SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2 UNION SELECT id FROM l3) SELECT DISTINCT caller_id, callee_name, reason FROM unresolved_calls WHERE scan_id IN (SELECT scan_id FROM current_scan) AND reason NOT IN ('builtin', 'external')
+  AND regexp_extract(callee_name, '([^.]+)$', 1) IN (SELECT name FROM n WHERE id IN (SELECT id FROM re)) AND (caller_id IS NULL OR caller_id NOT IN (SELECT id FROM re))""",
+    "indexed_scans": "SELECT project_slug, max(id) AS scan_id FROM (SELECT * FROM scan_runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY recorded_at DESC) = 1) WHERE id IN (SELECT scan_id FROM call_edges) GROUP BY project_slug",
+    "node_lists": _W + " SELECT id, CAST(json_array_length(params) AS BIGINT) AS n_params, json_extract_string(annotations, '$[0]') AS annotation FROM n",
+    "document_vectors": "SELECT CASE WHEN title IS NULL THEN NULL ELSE 64 END AS dim, count(*) AS n FROM documents GROUP BY 1",
+    "domain_precision": _W + ", g AS (SELECT origin, count(*) AS n, count(*) FILTER (WHERE confidence >= 0.8) AS k FROM e GROUP BY origin) SELECT origin, n, round(greatest(0.0, (k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) AS low, round(least(1.0, (k / n + 1.9208 / n + 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) AS high FROM g",
     "main_successors": _BASE + " SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1",
 }
 del ORACLE["impact_paths"]  # the seed isn't in it: tested by hand

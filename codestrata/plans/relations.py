@@ -24,6 +24,13 @@ def edges(spark: SparkSession, base: str) -> DataFrame:
     return e.select(F.col("id").alias("edge_id"), "scan_id", F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "callee_name", "edge_type", F.col("resolved_by").alias("origin"), "edge_kind", "evidence_kind", "confidence").distinct()
 
 
+def rehydrated(nodes: DataFrame) -> DataFrame:
+    """Nodes with their JSON columns as lists and maps; texts that are no JSON give empty ones."""
+    lists = {c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in ("annotations", "params") if c in nodes.columns}
+    maps = {c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")) for c in ("framework_hints",) if c in nodes.columns}
+    return nodes.withColumns(lists | maps)
+
+
 def unresolved(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "unresolved_calls").join(current(spark, base), "scan_id", "left_semi").distinct()
 

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import time
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Read one table of a data directory (a file or a folder of files)."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
@@ -32,6 +38,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def retry(work: Callable[[], T], attempts: int = 4, first_wait: float = 0.5, retriable: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError)) -> T:
+    """Call something outside that may fail for a moment; waits double."""
+    for k in range(attempts):
+        try:
+            return work()
+        except retriable:
+            if k == attempts - 1:
+                raise
+            time.sleep(first_wait * 2**k)
+    raise ValueError("at least one attempt")
+
+
 BROADCAST_ROWS = 200_000
 
 
@@ -43,13 +61,13 @@ def small_side(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with a partition for every core before heavy work on its rows. Only
-    for scans with projections and filters: their partitions are known without a
-    job. Tables of more partitions than cores stay as they are."""
+    """A scan with a partition for every core before heavy work on its rows, if
+    more than half of the cores had none: fewer aren't worth a shuffle. Only for
+    scans with projections and filters, whose partitions are known without a job."""
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def unused(name: str, *frames: DataFrame) -> str:

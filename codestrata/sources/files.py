@@ -119,6 +119,12 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("tool is not null")
 
 
+def artifacts(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of the JSON artifacts of several repositories with `repo`, the folder each lies in."""
+    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
+    return df.withColumn("repo", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
 def graded_sheet(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a graded sheet that have a verdict."""
     return spark.read.option("header", True).csv(path).where("verdict is not null and verdict <> ''")

@@ -134,7 +134,8 @@ def csharp(path: str, text: str) -> list[Row]:
 
 @parser("javascript")
 def javascript(path: str, text: str) -> list[Row]:
-    return braces(path, text, r"\bclass\s+(?P<name>\w+)", r"(?:(?:async\s+)?function\s+|^\s*(?:static\s+|async\s+)*|(?:const|let|var)\s+)(?P<name>[\w$]+)\s*(?:=\s*(?:async\s*)?)?\([^;{}]*\)\s*(?:=>\s*)?\{", r"@(?:Get|Post|Put|Delete)\(")
+    served = [(f"{module_of(path)}.{m[1].upper()} {m[2]}", f"{m[1].upper()} {m[2]}", "endpoint", line_at(text, m.start()), line_at(text, m.start()), json.dumps({"method": m[1].upper(), "path": m[2]})) for m in re.finditer(r"\b(?:app|router|server)\.(get|post|put|delete|patch)\(\s*['\"`](/[^'\"`]*)['\"`]\s*,", text)]
+    return served + braces(path, text, r"\bclass\s+(?P<name>\w+)", r"(?:(?:async\s+)?function\s+|^\s*(?:static\s+|async\s+)*|(?:const|let|var)\s+)(?P<name>[\w$]+)\s*(?:=\s*(?:async\s*)?)?\([^;{}]*\)\s*(?:=>\s*)?\{", r"@(?:Get|Post|Put|Delete)\(")
 
 
 @parser("go")

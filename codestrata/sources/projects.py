@@ -224,6 +224,23 @@ def beans(files: DataFrame) -> DataFrame:
     return _texts(files.where(F.col("path").rlike(r"\.(?:java|xml)$")), run, ["bean", "impl", "is_primary"], ["string", "string", "boolean"], ["project"]).distinct()
 
 
+def page_handlers(files: DataFrame) -> DataFrame:
+    """`project`, `path`, `route`, `handler`, `view` of Java methods that answer a
+    route with a view's name."""
+
+    def run(path: str, text: str) -> list[tuple]:
+        base = re.search(r"@RequestMapping\(\s*(?:value\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:public\s+)?class\b", text)
+        out = []
+        for m in re.finditer(r"@(?:Get|Post|Request)Mapping\(\s*(?:value\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@\w+(?:\([^)]*\))?\s*)*public\s+(?:String|ModelAndView)\s+(\w+)\s*\(", text):
+            view = re.compile(r"\breturn\s+(?:new\s+ModelAndView\(\s*)?\"([^\"]+)\"").search(text, m.end())
+            nxt = re.compile(r"@(?:Get|Post|Request)Mapping\(").search(text, m.end())
+            if view and (not nxt or view.start() < nxt.start()):
+                out.append(("/" + "/".join(x.strip("/") for x in ((base[1] if base else ""), m[1]) if x.strip("/")), m[2], view[1]))
+        return out
+
+    return _texts(files.where(F.col("path").endswith(".java")), run, ["route", "handler", "view"], ["string"] * 3, ["project", "path"])
+
+
 # What source registers to be run, and the member that is.
 REGISTERED = [("route", r"\.Map(?:Get|Post|Put|Delete|Patch)\(\s*\"[^\"]*\"\s*,\s*([\w.]+)\s*\)"), ("event", r"\.AddSubscription<\s*\w+\s*,\s*(\w+)\s*>"), ("hosted", r"\.AddHostedService<\s*(\w+)\s*>")]
 MEMBERS = {"event": ["Handle", "HandleAsync"], "hosted": ["ExecuteAsync", "StartAsync"]}
