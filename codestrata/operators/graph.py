@@ -73,10 +73,11 @@ def impact_levels(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: i
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
-    e = usable_edges(edges, nodes, include)
-    degrees = cut_lineage(in_degrees(e))
+    usable = usable_edges(edges, nodes, include).select("edge_id", "src", "dst", "conf", "weight", "low", "admitted", ((F.col("evidence_kind") == "dynamic_hint") | (F.col("edge_kind") == "dynamic_hint")).alias("hint"))
+    usable = cut_lineage(usable)
+    degrees = cut_lineage(in_degrees(usable))
     threshold = hub_threshold(degrees).first()[0]
-    e = cut_lineage(e.where("admitted").select("edge_id", "src", "dst", "conf", "weight", "low", ((F.col("evidence_kind") == "dynamic_hint") | (F.col("edge_kind") == "dynamic_hint")).alias("hint")))
+    e = usable.where("admitted").drop("admitted")
     reached = cut_lineage(expand_seeds(nodes, seeds).select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("score_sum"), F.lit(False).alias("possible"), F.lit(None).cast("long").alias("parent")))
     frontier, unknowns = reached, None
     for d in range(1, depth + 1):
