@@ -13,8 +13,6 @@ from codestrata.plans import relations as R
 from codestrata.plans.graph_queries import _BASE, _FOLDERS, _LEVELS, _PATHS, _SLICES, _WALK, _entries, _folders, _impact, primary_walk
 from codestrata.runtime import table
 
-CLIENT = F.regexp_extract("callee_name", r"^([^.]+)\.", 1)
-
 
 def _slices(spark, base) -> DataFrame:
     return graph.slices(R.nodes(spark, base), R.edges(spark, base), _entries(spark, base))
@@ -71,7 +69,7 @@ def domain_groups(spark: SparkSession, base: str) -> DataFrame:
 def dependency_catalog(spark: SparkSession, base: str) -> DataFrame:
     """Clients called by name, endpoints by language, and models as keys."""
     n, e = R.nodes(spark, base), R.edges(spark, base)
-    ext = e.where("dst is null").select(F.col("callee_name").alias("name"), CLIENT.alias("kind"))
+    ext = e.where("dst is null").select(F.col("callee_name").alias("name"), F.regexp_extract("callee_name", r"^([^.]+)\.", 1).alias("kind"))
     return C.dependencies(ext, n.where("node_type = 'endpoint'").select(F.lower("language").alias("source")), n.where("node_type = 'db_model'").select(F.col("domain").alias("from_table")))
 
 
