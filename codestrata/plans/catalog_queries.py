@@ -10,7 +10,7 @@ from codestrata.operators import entities, graph, snapshots, vectors
 from codestrata.operators import hierarchy as H
 from codestrata.plans import pages as P
 from codestrata.plans import relations as R
-from codestrata.plans.graph_queries import _BASE, _FOLDERS, _LEVELS, _PATHS, _SLICES, _WALK, _entries, _folders, _impact, primary_walk
+from codestrata.plans.graph_queries import _BASE, _FOLDERS, _LEVELS, _PATHS, _SLICES, _WALK, _entries, _folders, _impact, _level, primary_walk
 from codestrata.runtime import table
 
 
@@ -216,7 +216,10 @@ _ALL = (impact_paths, call_paths_all, folder_ancestors, page_parents, route_menu
 QUERIES = {f.__name__: f for f in _ALL}
 _STOPS = _SLICES + """, o2 AS (SELECT src AS id, count(*) AS k FROM tn GROUP BY 1), ch AS (SELECT DISTINCT a.entry, a.id FROM sl a JOIN tn ON tn.src = a.id JOIN sl b ON b.entry = a.entry AND b.id = tn.dst AND b.depth = a.depth + 1)"""
 ORACLE = {
-    "impact_paths": _LEVELS + " SELECT id, depth AS steps FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)",
+    "impact_paths": _BASE + "".join(_level(d).replace("bool_or(low OR hint) AS possible", "bool_or(low OR hint) AS possible, arg_max(dst, (s * w * conf, -edge_id, dst)) AS parent") for d in (1, 2, 3)) + """, r AS (SELECT id, parent, depth FROM l1 UNION ALL SELECT id, parent, depth FROM l2 UNION ALL SELECT id, parent, depth FROM l3),
+b AS (SELECT id, parent AS up1, depth FROM r UNION ALL SELECT b.id, r.parent, b.depth FROM b JOIN r ON r.id = b.up1) SELECT id, CAST(depth AS BIGINT) AS steps, up1 AS seed FROM b WHERE up1 IN (SELECT id FROM l0)""",
+    "forbidden_calls": _W + """, q AS (SELECT DISTINCT n.qn AS caller, callee_name AS callee FROM e JOIN n ON n.id = e.src), f AS (SELECT callee AS c, caller AS d FROM q), x AS (SELECT c, d, EXISTS (SELECT 1 FROM q WHERE (q.caller = c OR ends_with(q.caller, '.' || c)) AND (q.callee = d OR ends_with(q.callee, '.' || d))) AS there FROM f)
+SELECT count(*) AS n, count(*) FILTER (WHERE NOT there) AS n_absent, round(count(*) FILTER (WHERE NOT there) / count(*), 6) AS score FROM x""",
     "call_paths_all": _PATHS.replace("tn AS (SELECT DISTINCT src, dst FROM t WHERE", "tn AS (SELECT DISTINCT src, dst FROM e WHERE src IS NOT NULL AND"),
     "folder_ancestors": _FOLDERS.split("\nmk AS")[0] + " an AS (SELECT id, parent AS ancestor, 1 AS level FROM up WHERE parent IS NOT NULL UNION ALL SELECT an.id, up.parent, level + 1 FROM an JOIN up ON an.ancestor = up.id WHERE up.parent IS NOT NULL) SELECT DISTINCT id, ancestor, level FROM an",
     "page_parents": _W + """, f AS (SELECT DISTINCT scan_id, string_split(file_path, '/') AS p FROM n), x AS (SELECT DISTINCT 'module:' || scan_id || '/' || array_to_string(p[1:k], '/') AS page_id, CASE WHEN k > 1 THEN 'module:' || scan_id || '/' || array_to_string(p[1:k - 1], '/') END AS parent, k + 1 AS depth FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1)
@@ -258,4 +261,3 @@ z AS (SELECT CASE WHEN node_type = 'external_system' THEN 'external_boundary' WH
     "domain_precision": _W + ", g AS (SELECT origin, count(*) AS n, count(*) FILTER (WHERE confidence >= 0.8) AS k FROM e GROUP BY origin) SELECT origin, n, round(greatest(0.0, (k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) AS low, round(least(1.0, (k / n + 1.9208 / n + 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) AS high FROM g",
     "main_successors": _BASE + " SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY CASE edge_kind WHEN 'framework_binds' THEN 2 WHEN 'calls' THEN 1 ELSE 0 END DESC, conf DESC, edge_id) AS k FROM t) WHERE k = 1",
 }
-del ORACLE["impact_paths"]  # the seed isn't in it: tested by hand

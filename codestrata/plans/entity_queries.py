@@ -46,6 +46,10 @@ _W = f"WITH {R.NODES}, {R.EDGES}, {R.UNRESOLVED}"
 _TEST = r"regexp_matches(file_path, '(^|/)(tests?|__tests__|spec)(/|$)|(Tests?|_test|\.test|\.spec|Spec)\.[A-Za-z]+$')"
 QUERIES = {f.__name__: f for f in (entry_point_score, entity_kinds, edge_modes, federated_groups, key_edge_recall)}
 ORACLE = {
+    "entity_kinds": _W + """, f AS (SELECT scan_id, file_path, count(DISTINCT node_type) AS s, count(*) AS m FROM n GROUP BY ALL),
+k AS (SELECT CASE WHEN regexp_matches(name, '(?i)(?:view|projection|read_?model)$') THEN ('projection', 0.9) WHEN regexp_matches(name, '(?i)(?:dto|request|response|payload|form)$') THEN ('transfer', 0.9) WHEN regexp_matches(name, '(?i)(?:log|audit|history|event)$') THEN ('log', 0.85)
+  WHEN regexp_matches(name, '(?i)(?:config|settings?|option)s?$') THEN ('configuration', 0.85) WHEN s >= 2 THEN ('stateful', 0.8) WHEN regexp_matches(name, '(?i)(?:_|^)(?:map|link|rel)(?:_|$)') OR regexp_matches(name, '[a-z](?:[Mm][Aa][Pp]|[Ll][Ii][Nn][Kk])$') AND regexp_matches(name, '[a-z](?:Map|Link)$') THEN ('association', 0.7) WHEN m >= 2 THEN ('record', 0.6) ELSE ('unknown', 0.3) END AS x
+  FROM n JOIN f USING (scan_id, file_path) WHERE node_type IN ('db_model', 'class')) SELECT x[1] AS kind, count(*) AS n, CAST(round(avg(x[2]), 6) AS DOUBLE) AS confidence FROM k GROUP BY 1""",
     "entry_point_score": _BASE + f""", fo AS (SELECT DISTINCT src, dst FROM t), a AS (SELECT dst AS id, count(*) FILTER (WHERE NOT {_TEST}) AS p FROM fo JOIN n ON src = n.id GROUP BY 1), b AS (SELECT src AS id, count(*) AS f FROM fo GROUP BY 1),
 x AS (SELECT n.*, coalesce(p, 0) AS p, coalesce(f, 0) AS f, CASE WHEN node_type IN ('endpoint', 'batch_job', 'cli_command', 'event_consumer') THEN node_type WHEN regexp_matches(coalesce(annotations, ''), '(?i)route|mapping|scheduled|listener|consumer') THEN 'annotation' END AS s
   FROM n LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE NOT {_TEST} AND node_type NOT IN ('db_model', 'external_system', 'config', 'module')),

@@ -251,6 +251,10 @@ SELECT q.before, q.after, q.support, round(q.support / (q.support + coalesce(r.s
 f AS (SELECT user_id, event_type AS target, min(p) AS tp FROM r GROUP BY ALL), z AS (SELECT f.user_id, target, r.event_type AS context, arg_max(s, p) AS state FROM f JOIN r ON f.user_id = r.user_id AND p < tp AND r.event_type <> target GROUP BY ALL),
 b AS (SELECT target, context, count(*) AS base FROM z GROUP BY ALL), k AS (SELECT target, context, state, count(*) AS support FROM z GROUP BY ALL) SELECT target, context, state, support, round(support / base, 6) AS consistency FROM k JOIN b USING (target, context) WHERE support >= 2 AND support / base >= 0.5""",
     "machine_pairs": _PAIRS,
+    "pack_batches": """WITH RECURSIVE c AS (SELECT scan_id, chunk_id, tokens, row_number() OVER (PARTITION BY scan_id ORDER BY chunk_id) AS k FROM (SELECT DISTINCT scan_id, chunk_id, CAST(floor(coalesce(length(chunk_text), 0) / 4) AS BIGINT) AS tokens FROM discovery_chunk_meta WHERE scan_id IN (SELECT scan_id FROM current_scan))),
+p AS (SELECT scan_id, chunk_id, k, 0 AS bin, 1 AS n, tokens AS size FROM c WHERE k = 1
+  UNION ALL SELECT c.scan_id, c.chunk_id, c.k, CASE WHEN n < 10 AND size + c.tokens <= 1500 THEN bin ELSE bin + 1 END, CASE WHEN n < 10 AND size + c.tokens <= 1500 THEN n + 1 ELSE 1 END, CASE WHEN n < 10 AND size + c.tokens <= 1500 THEN size + c.tokens ELSE c.tokens END FROM p JOIN c ON c.scan_id = p.scan_id AND c.k = p.k + 1)
+SELECT scan_id, chunk_id, bin FROM p""",
     "snapshot_gc": f"WITH {_ST} SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY project_slug ORDER BY id DESC) AS r FROM s) WHERE r > 3 AND status <> 'running' AND id NOT IN (SELECT scan_id FROM current_scan)",
     "drift_check": f"""WITH {_ST}, f AS (SELECT project_slug, scan_id, file_path, max(lower(trim(file_hash))) AS h FROM code_nodes JOIN s ON scan_id = s.id GROUP BY ALL), c AS (SELECT * FROM f WHERE scan_id IN (SELECT scan_id FROM current_scan)), a AS (SELECT * FROM f WHERE (project_slug, scan_id) IN (SELECT project_slug, min(scan_id) FROM f GROUP BY 1))
 SELECT CASE WHEN c.scan_id IS NULL THEN 'missing' WHEN a.h IS NOT DISTINCT FROM c.h THEN 'fresh' ELSE 'changed' END AS state, count(*) AS n FROM a LEFT JOIN c USING (project_slug, file_path) GROUP BY 1""",

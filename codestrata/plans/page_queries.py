@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codestrata.plans import pages as P
 from codestrata.plans import relations as R
+from codestrata.plans.graph_queries import _SLICES
 from codestrata.runtime import checkpoint_dir, table
 from codestrata.sources import parsers, sinks
 from codestrata.streaming import ledger
@@ -119,6 +120,8 @@ SELECT 'endpoint:' || scan_id || '/' || CASE WHEN r = '' OR k > 1 THEN qn ELSE r
     "screen_facts": _W + """, x AS (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL AND src IS NOT NULL), y AS (SELECT src AS id, count(*) AS calls, count(*) FILTER (WHERE node_type IN ('endpoint', 'batch_job', 'cli_command', 'event_consumer')) AS entries FROM x JOIN n ON n.id = dst GROUP BY 1)
 SELECT 'screen:' || scan_id || '/' || qn AS page_id, coalesce(calls, 0) AS calls, coalesce(entries, 0) AS entries FROM n LEFT JOIN y USING (id) WHERE node_type = 'ui_component'""",
     "page_facts": _W + " SELECT 'domain:' || scan_id || '/' || domain AS page_id, count(*) AS symbols, count(*) FILTER (WHERE node_type IN ('endpoint', 'batch_job')) AS entries FROM n WHERE domain IS NOT NULL GROUP BY scan_id, domain",
+    "flow_facts": _SLICES.replace("node_type IN ('endpoint', 'batch_job')", "node_type IN ('endpoint', 'batch_job', 'cli_command', 'event_consumer')") + """, o2 AS (SELECT src AS id, count(*) AS k FROM tn GROUP BY 1), ch AS (SELECT DISTINCT a.entry, a.id FROM sl a JOIN tn ON tn.src = a.id JOIN sl b ON b.entry = a.entry AND b.id = tn.dst AND b.depth = a.depth + 1)
+SELECT 'flow:' || n.scan_id || '/' || n.qn AS page_id, count(*) AS steps, CAST(max(sl.depth) AS BIGINT) AS depth, count(*) FILTER (WHERE (sl.entry, sl.id) NOT IN (SELECT entry, id FROM ch)) AS stops FROM sl JOIN n ON n.id = sl.entry GROUP BY ALL""",
     "first_writers": "WITH x AS (SELECT DISTINCT id, scan_id, qualified_name, file_path, line_start FROM code_nodes) SELECT scan_id, qualified_name, id FROM x QUALIFY row_number() OVER (PARTITION BY scan_id, qualified_name ORDER BY file_path, line_start NULLS LAST, id) = 1",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
     "window_tumbling": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS tool, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",

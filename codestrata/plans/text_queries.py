@@ -152,6 +152,8 @@ SELECT doc_id, round(sum(1.0 / (60 + k)), 5) AS score, string_agg(s, ',' ORDER B
     "chunk_hashes": "SELECT DISTINCT chunk_id, sha256(coalesce(file_path, '') || chr(0) || coalesce(qualified_name, '') || chr(0) || coalesce(CAST(chunk_index AS VARCHAR), '') || chr(0) || coalesce(chunk_text, '')) AS hash FROM discovery_chunk_meta",
     "token_estimates": "SELECT source, CAST(sum(floor(coalesce(length(text), 0) / 4)) AS BIGINT) AS tokens FROM documents GROUP BY 1",
     "intent_clusters": _N + ", x AS (SELECT lower(replace(name, '_', '')) AS l, coalesce(domain, '(none)') AS domain FROM n WHERE node_type IN ('endpoint', 'batch_job', 'function', 'method')) SELECT CASE " + " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{w}'" for w, p in T.INTENTS) + " ELSE 'other' END AS intent, domain, count(*) AS n FROM x GROUP BY 1, 2",
+    "name_stems": _N + r""", x AS (SELECT DISTINCT name, lower(regexp_replace(name, '([A-Z])', '_\1', 'g')) AS s0, lower(regexp_replace(name, '(?:""" + "|".join(T.LAYER_ENDS) + r""")$', '')) AS l0 FROM n WHERE node_type = 'class'), y AS (SELECT name, CASE WHEN regexp_matches(name, '^[A-Z]') THEN substr(s0, 2) ELSE s0 END AS s, l0 FROM x)
+SELECT name, CASE WHEN ends_with(s, 'ies') THEN substr(s, 1, length(s) - 3) || 'y' WHEN ends_with(s, 'ses') THEN substr(s, 1, length(s) - 2) WHEN ends_with(s, 's') AND NOT ends_with(s, 'ss') THEN substr(s, 1, length(s) - 1) ELSE s END AS snake, CASE WHEN ends_with(l0, 's') THEN substr(l0, 1, length(l0) - 1) ELSE l0 END AS loose FROM y""",
     "domain_inference": _N + f", x AS (SELECT id, string_split(qn, '.') AS q, string_split(file_path, '/') AS f FROM n) SELECT id, lower(coalesce(list_filter(q[1:len(q) - 1], lambda p: p <> '' AND lower(p) NOT IN ({_NOT}))[1], list_filter(f[1:len(f) - 1], lambda p: p <> '' AND lower(p) NOT IN ({_NOT}))[1])) AS inferred FROM x",
     "grounding_check": _N + r""", r AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '`([A-Za-z_][\w.]*)`', 1)) AS ref FROM documents),
 k AS (SELECT name FROM n UNION SELECT qn FROM n UNION SELECT unnest(string_split(qn, '.')) FROM n) SELECT doc_id, ref FROM r WHERE ref NOT IN (SELECT name FROM k WHERE name IS NOT NULL)""",
