@@ -24,45 +24,52 @@ def owner(qn):
 
 
 def tiers(sites: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
-    """`site`, `tier`, `origin`, `id`: all candidates of all tiers.
+    """`site`, `tier`, `origin`, `id`, `n`: how many symbols each tier finds for a
+    site, and the least. Symbols are counted per key before they meet sites, so
+    a name that very many symbols have costs a site one row.
 
     imports: `scan_id`, `file_path`, `name`, `target_qn`, `exact`;
     bases: `scan_id`, `class_qn`, `base_qn`, followed up to four times.
     """
-    s = symbols.select("scan_id", F.col("id"), F.col("qn").alias("s_qn"), F.col("name"), F.col("file_path").alias("s_file"), F.col("language").alias("s_lang"))
-    own = s.withColumn("s_owner", owner(F.col("s_qn")))
+    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    s = symbols.select("scan_id", "id", "qn", "name", "file_path", owner(F.col("qn")).alias("own"), folder("file_path").alias("dir"), F.lower("language").alias("lang"))
+    s = s.withColumn("short", F.regexp_extract("own", r"([^.]+)$", 1))
+    per = lambda *key: s.groupBy("scan_id", *key).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    site = sites.withColumns({"own": owner(F.col("caller_qn")), "dir": folder("file_path"), "lang": F.lower("language")})
     out = []
-    site = sites.withColumn("caller_owner", owner(F.col("caller_qn")))
-    me = site.where(F.col("receiver").isNull() | F.col("receiver").isin("self", "this"))
-    out.append(me.join(own.withColumnRenamed("s_owner", "caller_owner"), ["scan_id", "caller_owner", "name"]).select("site", F.lit(1).alias("tier"), F.lit("self_scope").alias("origin"), "id"))
+
+    def add(df: DataFrame, tier: int, origin) -> None:
+        out.append(df.select("site", F.lit(tier).alias("tier"), origin.alias("origin"), "id", "n"))
+
+    me, plain = site.where(F.col("receiver").isNull() | F.col("receiver").isin("self", "this")), site.where(F.col("receiver").isNull())
+    add(me.join(per("own", "name"), ["scan_id", "own", "name"]), 1, F.lit("self_scope"))
     if imports is not None:
-        i = imports.select("scan_id", "file_path", "name", F.col("target_qn").alias("s_qn"), F.col("exact"))
-        out.append(site.join(i, ["scan_id", "file_path", "name"]).join(s.drop("name"), ["scan_id", "s_qn"]).select("site", F.lit(2).alias("tier"), F.when(F.col("exact"), "import_exact").otherwise("import_module").alias("origin"), "id"))
-    typed = site.where(F.col("receiver").isNotNull())
-    out.append(typed.join(own.withColumn("receiver", F.regexp_extract("s_owner", r"([^.]+)$", 1)), ["scan_id", "receiver", "name"]).select("site", F.lit(3).alias("tier"), F.lit("receiver_typed").alias("origin"), "id"))
+        i = imports.select("scan_id", "file_path", "name", F.col("target_qn").alias("qn"), "exact").groupBy("scan_id", "file_path", "name", "qn").agg(F.bool_or("exact").alias("exact"))
+        add(site.join(i, ["scan_id", "file_path", "name"]).join(per("qn"), ["scan_id", "qn"]), 2, F.when(F.col("exact"), "import_exact").otherwise("import_module"))
+    add(site.where("receiver is not null").join(per("short", "name").withColumnRenamed("short", "receiver"), ["scan_id", "receiver", "name"]), 3, F.lit("receiver_typed"))
     if bases is not None:
-        up = bases.select("scan_id", "class_qn", "base_qn", F.lit(1).alias("level"))
-        level = up
+        one = bases.select("scan_id", "class_qn", "base_qn").distinct()
+        up = level = one.withColumn("level", F.lit(1))
         for k in range(2, 5):
-            level = level.join(bases.select("scan_id", F.col("class_qn").alias("base_qn"), F.col("base_qn").alias("next")), ["scan_id", "base_qn"]).select("scan_id", "class_qn", F.col("next").alias("base_qn"), F.lit(k).alias("level"))
+            level = level.join(one.select("scan_id", F.col("class_qn").alias("base_qn"), F.col("base_qn").alias("next")), ["scan_id", "base_qn"]).select("scan_id", "class_qn", F.col("next").alias("base_qn"), F.lit(k).alias("level")).distinct()
             up = up.unionByName(level)
-        up = up.groupBy("scan_id", "class_qn", "base_qn").agg(F.min("level").alias("level"))
-        found = me.join(up.withColumnRenamed("class_qn", "caller_owner"), ["scan_id", "caller_owner"]).join(own.withColumnRenamed("s_owner", "base_qn"), ["scan_id", "base_qn", "name"])
+        up = up.groupBy("scan_id", F.col("class_qn").alias("own"), "base_qn").agg(F.min("level").alias("level"))
+        members = per("own", "name").withColumnRenamed("own", "base_qn")
+        found = me.join(up, ["scan_id", "own"]).join(members, ["scan_id", "base_qn", "name"])
         near = found.groupBy("site").agg(F.min("level").alias("level"))
-        out.append(found.join(near, ["site", "level"]).select("site", F.lit(4).alias("tier"), F.lit("inherited").alias("origin"), "id"))
-    plain = site.where(F.col("receiver").isNull())
-    out.append(plain.join(s, ["scan_id", "name"]).where("file_path = s_file").select("site", F.lit(5).alias("tier"), F.lit("same_file").alias("origin"), "id"))
-    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    out.append(plain.withColumn("dir", folder("file_path")).join(s.withColumn("dir", folder("s_file")), ["scan_id", "dir", "name"]).select("site", F.lit(6).alias("tier"), F.lit("same_package").alias("origin"), "id"))
-    out.append(site.join(s, ["scan_id", "name"]).where(F.lower("language").eqNullSafe(F.lower("s_lang"))).select("site", F.lit(7).alias("tier"), F.when(F.col("receiver").isNull(), "global_unique").otherwise("receiver_global").alias("origin"), "id"))
+        add(found.join(near, ["site", "level"]), 4, F.lit("inherited"))
+    add(plain.join(per("file_path", "name"), ["scan_id", "file_path", "name"]), 5, F.lit("same_file"))
+    add(plain.join(per("dir", "name"), ["scan_id", "dir", "name"]), 6, F.lit("same_package"))
+    g = per("name", "lang").withColumnsRenamed({"scan_id": "_s", "name": "_n", "lang": "_l"})
+    same = (F.col("scan_id") == F.col("_s")) & (F.col("name") == F.col("_n")) & F.col("lang").eqNullSafe(F.col("_l"))
+    add(site.join(g, same), 7, F.when(F.col("receiver").isNull(), "global_unique").otherwise("receiver_global"))
     return reduce(DataFrame.unionByName, out)
 
 
 def resolve(sites: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, bases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Resolved: `site`, `id`, `origin`, `confidence`. Unresolved: `site`,
     `reason`, `n_candidates`, with one reason of the closed list."""
-    cand = tiers(sites, symbols, imports, bases).distinct()
-    per = cand.groupBy("site", "tier").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.min("origin").alias("origin"))
+    per = tiers(sites, symbols, imports, bases).groupBy("site", "tier").agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.min("origin").alias("origin"))
     first = per.groupBy("site").agg(F.min(F.struct("tier", "n", "id", "origin")).alias("b")).select("site", "b.*")
     good = first.where("n = 1").select("site", "id", "origin", O.confidence(F.col("origin"), F.lit(None).cast("double")).alias("confidence"))
     rest = sites.join(good.select("site"), "site", "left_anti").join(first.select("site", F.col("n")), "site", "left")

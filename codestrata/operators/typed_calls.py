@@ -142,21 +142,29 @@ def injected(candidates: DataFrame, registered: DataFrame, primary: DataFrame |
 def implementing(typed: DataFrame, bases: DataFrame, symbols: DataFrame, registered: DataFrame | None = None, cap: int = O.DISPATCH_CAP) -> tuple[DataFrame, DataFrame]:
     """Calls on an interface (`site`, `scan_id`, `type_name`, `name`, `file_path`)
     to the methods of types that name it as a base: one, by itself or by what
-    is registered, is a framework binding; up to `cap` are dispatches."""
+    is registered, is a framework binding; up to `cap` are dispatches. Methods
+    are counted per interface and name first: beyond the cap sites meet those
+    of registered types only."""
     m = symbols.select("scan_id", "id", owner(F.col("qn")).alias("class_qn"), F.regexp_extract("qn", r"([^.]+)$", 1).alias("name"))
     b = bases.select("scan_id", "class_qn", short(F.col("base")).alias("interface")).distinct()
+    methods = b.join(m, ["scan_id", "class_qn"]).select("scan_id", "interface", "name", F.regexp_extract("class_qn", r"([^.]+)$", 1).alias("impl"), "id").distinct()
+    methods = cut_lineage(methods)
+    key = ["scan_id", "interface", "name"]
+    n_all = methods.groupBy(*key).agg(F.count_distinct("id").alias("n_all"))
     project = F.split_part("file_path", F.lit("/"), F.lit(1))
-    t = typed.where("type_name is not null").select("site", "scan_id", short(F.col("type_name")).alias("interface"), "name", project.alias("project"))
-    hit = t.join(b, ["scan_id", "interface"]).join(m, ["scan_id", "class_qn", "name"]).select("site", "scan_id", "interface", F.regexp_extract("class_qn", r"([^.]+)$", 1).alias("impl"), "project", "id").distinct()
-    all_ = hit.groupBy("site").agg(F.count_distinct("id").alias("n_all"))
+    t = typed.where("type_name is not null").select("site", "scan_id", short(F.col("type_name")).alias("interface"), "name", project.alias("project")).join(n_all, key)
+    columns = ["site", "scan_id", "interface", "impl", "project", "id"]
+    hit = t.where(F.col("n_all") <= cap).join(methods, key).select(*columns)
     if registered is not None:
-        hit = injected(hit, registered)
+        known = methods.join(registered.select("scan_id", "impl").distinct(), ["scan_id", "impl"], "left_semi")
+        hit = injected(hit.unionByName(t.where(F.col("n_all") > cap).join(known, key).select(*columns)), registered)
     n = hit.groupBy("site").agg(F.count_distinct("id").alias("n"))
-    k = hit.join(n, "site").join(all_, "site")
+    k = t.select("site", "n_all").join(n, "site", "left")
     chosen = F.col("n") < F.col("n_all")  # by registration
-    edges = k.where((F.col("n") == 1) | (~chosen & (F.col("n") <= cap))).select("site", "id", F.when(F.col("n") == 1, "framework").otherwise("dispatch").alias("origin"))
-    rest = k.where((F.col("n") > 1) & (chosen | (F.col("n") > cap))).select("site", F.when(chosen, "di_ambiguous").otherwise("dispatch_cap").alias("reason"), F.col("n").alias("n_candidates")).distinct()
-    return edges, rest
+    told = k.where((F.col("n") == 1) | (F.col("n") == F.col("n_all")) & (F.col("n") <= cap))
+    edges = told.join(hit.select("site", "id"), "site").select("site", "id", F.when(F.col("n") == 1, "framework").otherwise("dispatch").alias("origin"))
+    rest = k.where(F.col("n").isNull() | (F.col("n") > 1) & (chosen | (F.col("n") > cap)))
+    return edges, rest.select("site", F.when(F.coalesce(chosen, F.lit(False)), "di_ambiguous").otherwise("dispatch_cap").alias("reason"), F.coalesce("n", "n_all").alias("n_candidates")).distinct()
 
 
 def extensions(typed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Typed tiers on a hand-made project."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.operators import typed_calls as T
 
@@ -78,3 +79,20 @@ def test_reexports(spark):
     got = {(r.file, r.name): r.id for r in T.reexported(e, d).collect()}
     assert got == {("k.js", "a"): 1, ("l.js", "a"): 2, ("j.js", "A"): 1, ("i.js", "A"): 1}
     assert T.reexported(e.limit(0), d.limit(0)).count() == 0
+
+
+def test_very_many_implementations(spark):
+    """Beyond the cap a site costs one row, unless something registered decides."""
+    n = 40
+    symbols = spark.createDataFrame([(i, 1, f"b.C{i}.send", "send", "method", "csharp", f"b/C{i}.cs", None, None) for i in range(n)], "id long, scan_id long, qn string, name string, node_type string, language string, file_path string, return_type string, extends_type string")
+    bases = spark.createDataFrame([(1, f"b.C{i}", "ISend") for i in range(n)], "scan_id long, class_qn string, base string")
+    typed = spark.createDataFrame([(s, 1, "ISend", "send", "app/x.cs") for s in (1, 2)] + [(3, 1, "ISend", "none", "app/x.cs")], "site long, scan_id long, type_name string, name string, file_path string")
+    edges, rest = T.implementing(typed, bases, symbols)
+    assert edges.count() == 0 and sorted(map(tuple, rest.collect())) == [(1, "dispatch_cap", 40), (2, "dispatch_cap", 40)]
+    edges, rest = T.implementing(typed, bases, symbols, None, 40)
+    assert edges.where("origin = 'dispatch'").count() == 80 and rest.count() == 0
+    reg = spark.createDataFrame([(1, "ISend", "C7", "app"), (1, "ISend", "C8", "lib")], "scan_id long, interface string, impl string, project string")
+    edges, rest = T.implementing(typed, bases, symbols, reg)
+    assert sorted(map(tuple, edges.collect())) == [(1, 7, "framework"), (2, 7, "framework")] and rest.count() == 0
+    edges, rest = T.implementing(typed, bases, symbols, reg.withColumn("project", F.lit("lib")))
+    assert edges.count() == 0 and sorted(map(tuple, rest.collect())) == [(1, "di_ambiguous", 2), (2, "di_ambiguous", 2)]
