@@ -54,7 +54,11 @@ def bm25(postings: DataFrame, lengths: DataFrame, key: str, query: str, weights:
         return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
     stats = lengths.agg(F.count("*").alias("n_pages"), F.avg("length").alias("avg_length"))
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("col")), F.lit(1.0))
-    per = postings.select(key, F.explode(F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.col("token").startswith(p))).alias("prefix"), (F.col("tf") * weight).alias("w"))
+    wanted = F.lit(False)
+    for p in prefixes:
+        wanted = wanted | F.col("token").startswith(p)
+    # Said of the token itself, it holds before postings are counted and shuffled.
+    per = postings.where(wanted).select(key, F.explode(F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.col("token").startswith(p))).alias("prefix"), (F.col("tf") * weight).alias("w"))
     freq = per.groupBy(key, "prefix").agg(F.sum("w").alias("f"))
     df = freq.groupBy("prefix").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
